@@ -54,3 +54,12 @@ def back_fill(x, spec: WindowSpec) -> Column:
 
 def expanding_median(x, spec: WindowSpec, lag: int = 0) -> Column:
     return F.percentile(col(x), 0.5).over(spec.rowsBetween(Window.unboundedPreceding, -lag))
+
+
+def rolling_corr(x, y, spec: WindowSpec, n: int, min_periods: int) -> Column:
+    """Correlation over the last ``n`` rows; missing when either side is constant."""
+    x, y = col(x), col(y)
+    frame = spec.rowsBetween(-(n - 1), 0)
+    sx, sy = F.stddev_samp(x).over(frame), F.stddev_samp(y).over(frame)
+    ok = (F.count(x).over(frame) >= min_periods) & (sx > 0) & (sy > 0)
+    return F.when(ok, F.covar_samp(x, y).over(frame) / (sx * sy))
