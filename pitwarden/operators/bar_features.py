@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pitwarden.config import BarConfig
 from pitwarden.functions.exprs import clip, finite, norm_cdf
+
 from pitwarden.functions.rolling import centred, forward_sum, rolling_corr, trailing
+from pitwarden.operators.lineage import spread
 
 BACK = (3, 5, 10, 15, 30)
 FEATURES = (
@@ -37,7 +39,7 @@ def series_features(bars: DataFrame, cfg: BarConfig | None = None) -> DataFrame:
     w = Window.partitionBy(*KEYS).orderBy("minute")
     seg = Window.partitionBy(*KEYS)
     c = F.col
-    one = bars.select(
+    one = spread(bars, *KEYS).select(
         *KEYS, "minute", "open", "high", "low", "close", c("volume").cast("double").alias("vol"),
         (F.coalesce(F.ln("close") - F.ln(F.lag("close").over(w)), F.lit(0.0)) * 1e4).alias("ret"),
         ((c("high") - c("low")) / c("close") * 1e4).alias("rng"),

@@ -62,6 +62,18 @@ FEED = """feed AS (
     CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 1440 + hour(ts) * 60 + minute(ts) AS BIGINT) AS minute,
     value AS price, event_id FROM events)"""
 
+SCORED = """scored0 AS (
+  SELECT commodity, step, trader_id, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS v,
+    (CAST(substr(trader_id, 6) AS BIGINT) * 131 + step * 37 + count(*) * 11 + CAST(sum(quantity) AS BIGINT)) % 1000 AS h
+  FROM (SELECT commodity, tick // 30 AS step, quantity, unnest([buyer_trader_id, seller_trader_id]) AS trader_id FROM trades)
+  GROUP BY commodity, step, trader_id),
+scored AS (
+  SELECT commodity, step * 30 AS window_start, trader_id, step * 30 + 179 AS window_end,
+    (h * 7 % 1000) / 1000.0::DOUBLE AS prob_spoofing, ((h * 13 + 250) % 1000) / 1000.0::DOUBLE AS prob_wash_trading,
+    ((h * 29 + 500) % 1000) / 1000.0::DOUBLE AS prob_pump_and_dump, ((h * 43 + 750) % 1000) / 1000.0::DOUBLE AS prob_layering,
+    (h * 17 % 1000) / 1000.0::DOUBLE AS prob_fake_depth, ((h * 61 + 100) % 1000) / 1000.0::DOUBLE AS iso_score,
+    CAST(h % 5 AS INTEGER) AS n_dev FROM scored0)"""
+
 LAST_PRICE = "arg_max(price, {'t': tick, 's': seq, 'p': price})"
 FIRST_PRICE = "arg_min(price, {'t': tick, 's': seq, 'p': price})"
 

@@ -156,11 +156,38 @@ def minute_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("event_type").alias("commodity"), minute.alias("minute"), F.col("value").alias("price"), "event_id")
 
 
+THRESHOLDS = {"spoofing": 0.9, "wash_trading": 0.92, "pump_and_dump": 0.94, "layering": 0.9, "fake_depth": 0.95}
+SCORE_MIX = {
+    "prob_spoofing": (7, 0), "prob_wash_trading": (13, 250), "prob_pump_and_dump": (29, 500), "prob_layering": (43, 750),
+    "prob_fake_depth": (17, 0), "iso_score": (61, 100),
+}
+
+
+def scored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account windows with stand-in scores: plain arithmetic on what the account traded.
+
+    One row per account and 30-tick step with a trade; the window reaches 180 ticks ahead.
+    """
+    legs = trade_log(spark, sf_dir).select(
+        "commodity", F.expr("tick div 30").alias("step"), "quantity",
+        F.explode(F.array("buyer_trader_id", "seller_trader_id")).alias("trader_id"),
+    )
+    g = legs.groupBy("commodity", "step", "trader_id").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("v"))
+    number = F.substring("trader_id", 6, 9).cast("long")
+    g = g.withColumn("h", (number * 131 + F.col("step") * 37 + F.col("n") * 11 + F.col("v")) % 1000)
+    scores = [((F.col("h") * a + b) % 1000 / F.lit(1000.0)).alias(c) for c, (a, b) in SCORE_MIX.items()]
+    return g.select(
+        "commodity", (F.col("step") * 30).alias("window_start"), "trader_id", (F.col("step") * 30 + 179).alias("window_end"),
+        *scores, (F.col("h") % 5).cast("int").alias("n_dev"),
+    )
+
+
 LOGS = {
     "trade_log": trade_log,
     "brand_tape": brand_tape,
     "order_log": order_log,
     "manipulation_events": manipulation_events,
+    "scored_windows": scored_windows,
 }
 _staged: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
