@@ -74,3 +74,23 @@ def _carry(queries, points, keys, tick, point_tick, values, bucket_ticks, out_ti
         .select(*keys, "_t", F.col("_hit._at").alias(out_tick), *[F.col(f"_hit.{v}").alias(v) for v in values])
     )
     return queries.withColumn("_t", stamped(F.col(tick))).join(found, [*keys, "_t"], "left").drop("_t")
+
+
+def range_sums(
+    queries: DataFrame, points: DataFrame, keys: list[str], lo: str, hi: str, values: list[str], bucket_ticks: int = 4096
+) -> DataFrame:
+    """Add the sum of each value over points with lo <= tick <= hi (0 when none).
+
+    Differences of running totals at hi and lo - 1: two as-of lookups, whatever the span.
+    ``points`` has one row per (keys, tick).
+    """
+    w = Window.partitionBy(*keys).orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+    totals = cut(points.select(*keys, "tick", *[F.sum(v).over(w).alias(v) for v in values]))
+    out = queries.withColumn("_before", F.col(lo) - 1)
+    top, low = [f"_t_{v}" for v in values], [f"_l_{v}" for v in values]
+    a = totals.withColumnsRenamed(dict(zip(values, top)))
+    b = totals.withColumnsRenamed(dict(zip(values, low)))
+    out = asof_previous(out, a, keys, hi, top, bucket_ticks, point_tick="tick", out_tick="_ta")
+    out = asof_previous(out, b, keys, "_before", low, bucket_ticks, point_tick="tick", out_tick="_tb")
+    sums = {v: F.coalesce(F.col(t), F.lit(0)) - F.coalesce(F.col(q), F.lit(0)) for v, t, q in zip(values, top, low)}
+    return out.withColumns(sums).drop(*top, *low, "_before", "_ta", "_tb")
