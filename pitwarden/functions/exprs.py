@@ -34,10 +34,17 @@ def clip_present(x: Column | str, lo=None, hi=None) -> Column:
     return F.when(col(x).isNotNull(), clip(x, lo, hi))
 
 
+def rnd(x: Column | str, digits: int = 0) -> Column:
+    """Round half away from zero on the stored double, the way other engines do it."""
+    x = col(x).cast("double")
+    scale = F.lit(float(10 ** digits))
+    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+
+
 def bp(a: Column | str, b: Column | str) -> Column:
     """Move from a to b in basis points, one decimal; 0 when either is missing or a is 0."""
     a, b = col(a), col(b)
-    return F.when(a.isNotNull() & b.isNotNull() & (a != 0), F.round((b - a) / a * 1e4, 1)).otherwise(F.lit(0.0))
+    return F.when(a.isNotNull() & b.isNotNull() & (a != 0), rnd((b - a) / a * 1e4, 1)).otherwise(F.lit(0.0))
 
 
 def finite(x: Column | str, fill=0.0) -> Column:
@@ -80,7 +87,7 @@ def top_abs(m: Column | str, k: int, digits: int = 4) -> Column:
         lambda e: F.struct((-F.abs(e["value"])).alias("rank"), e["key"].alias("key"), e["value"].alias("value")),
     )
     best = F.slice(F.array_sort(entries), 1, k)
-    return F.map_from_entries(F.transform(best, lambda e: F.struct(e["key"], F.round(e["value"], digits))))
+    return F.map_from_entries(F.transform(best, lambda e: F.struct(e["key"], rnd(e["value"], digits))))
 
 
 def starts_with_any(c: Column | str, prefixes: tuple[str, ...]) -> Column:

@@ -92,5 +92,9 @@ def range_sums(
     b = totals.withColumnsRenamed(dict(zip(values, low)))
     out = asof_previous(out, a, keys, hi, top, bucket_ticks, point_tick="tick", out_tick="_ta")
     out = asof_previous(out, b, keys, "_before", low, bucket_ticks, point_tick="tick", out_tick="_tb")
-    sums = {v: F.coalesce(F.col(t), F.lit(0)) - F.coalesce(F.col(q), F.lit(0)) for v, t, q in zip(values, top, low)}
+    ordered = F.col(hi) >= F.col(lo)
+    sums = {
+        v: F.when(ordered, F.coalesce(F.col(t), F.lit(0)) - F.coalesce(F.col(q), F.lit(0))).otherwise(F.lit(0))
+        for v, t, q in zip(values, top, low)
+    }
     return out.withColumns(sums).drop(*top, *low, "_before", "_ta", "_tb")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pitwarden.config import FAKE_DEPTH, DetectorConfig
+from pitwarden.functions.exprs import rnd
 from pitwarden.operators.islands import number_islands
 from pitwarden.operators.labels import episode_accounts
 from pitwarden.operators.ranges import overlap_join
@@ -159,7 +160,7 @@ def minute_cases(scores: DataFrame, personas: tuple[str, ...], gap: int = 2) ->
         prob = F.when(F.col("model_persona") == p, F.col(f"_max_{p}")).otherwise(prob)
     return body.join(pick, ["commodity", "segment", "island"]).select(
         "commodity", "segment", "start_minute", "end_minute", (F.col("end_minute") - F.col("start_minute") + 1).alias("minutes"),
-        "flagged_minutes", "model_persona", F.round(prob, 4).alias("model_probability"), F.round("model_margin", 4).alias("model_margin"),
+        "flagged_minutes", "model_persona", rnd(prob, 4).alias("model_probability"), rnd("model_margin", 4).alias("model_margin"),
     )
 
 
@@ -173,7 +174,7 @@ def caught_by(flags: DataFrame, events: DataFrame) -> DataFrame:
     anomaly = F.col("final_flag") & F.coalesce(F.col("label") == "anomaly", F.lit(False))
     caught = F.count_if(F.col("final_flag"))
     return rows.groupBy("persona").agg(
-        F.count(F.lit(1)).alias("windows"), F.round(caught / F.count(F.lit(1)), 3).alias("caught_share"),
+        F.count(F.lit(1)).alias("windows"), rnd(caught / F.count(F.lit(1)), 3).alias("caught_share"),
         F.count_if(own).alias("own_label"), F.count_if(anomaly).alias("anomaly"),
         F.count_if(F.col("final_flag") & ~own & ~anomaly).alias("other_persona"),
     )

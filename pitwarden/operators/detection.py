@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitwarden.config import FAKE_DEPTH, PERSONAS
-from pitwarden.functions.exprs import safe_div
+from pitwarden.functions.exprs import rnd, safe_div
 from pitwarden.operators.labels import episode_accounts
 from pitwarden.operators.ranges import overlap_join
 
@@ -42,7 +42,7 @@ def prf(tp: Column, fp: Column, fn: Column, digits: int = 4) -> dict[str, Column
     some = (tp + fn) > 0
     p, r = _ratio(tp, tp + fp), _ratio(tp, tp + fn)
     f1 = _ratio(2 * tp, 2 * tp + fp + fn)
-    return {n: F.when(some, F.round(v, digits)) for n, v in (("precision", p), ("recall", r), ("f1", f1))}
+    return {n: F.when(some, rnd(v, digits)) for n, v in (("precision", p), ("recall", r), ("f1", f1))}
 
 
 def row_metrics(long: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -50,7 +50,7 @@ def row_metrics(long: DataFrame, by: list[str] | None = None) -> DataFrame:
     g = [*(by or []), "persona"]
     counts = long.groupBy(*g).agg(*[c.alias(n) for n, c in confusion(F.col("truth"), F.col("own")).items()])
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    return counts.select(*g, *[v.alias(n) for n, v in prf(tp, fp, fn).items()], F.round(_ratio(fp, fp + tn), 4).alias("fpr"), (tp + fn).alias("support"))
+    return counts.select(*g, *[v.alias(n) for n, v in prf(tp, fp, fn).items()], rnd(_ratio(fp, fp + tn), 4).alias("fpr"), (tp + fn).alias("support"))
 
 
 def row_metrics_by_market(long: DataFrame, market: str = "commodity") -> DataFrame:
@@ -61,7 +61,7 @@ def row_metrics_by_market(long: DataFrame, market: str = "commodity") -> DataFra
     )
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     scope = F.when(F.col("_pooled") == 1, "pooled").otherwise(F.col(market)).alias("scope")
-    return counts.select(scope, "persona", *[v.alias(n) for n, v in prf(tp, fp, fn).items()], F.round(_ratio(fp, fp + tn), 4).alias("fpr"), (tp + fn).alias("support"))
+    return counts.select(scope, "persona", *[v.alias(n) for n, v in prf(tp, fp, fn).items()], rnd(_ratio(fp, fp + tn), 4).alias("fpr"), (tp + fn).alias("support"))
 
 
 def episode_hits(long: DataFrame, events: DataFrame) -> DataFrame:
@@ -90,13 +90,13 @@ def episode_metrics(hits: DataFrame, by: list[str] | None = None) -> DataFrame:
     return hits.groupBy(*g).agg(
         F.count(F.lit(1)).alias("events_total"),
         F.count("own_latency").alias("events_detected"),
-        F.round(F.avg("own_latency"), 1).alias("detection_latency_ticks"),
-        F.round(F.avg(share("own")), 4).alias("episode_coverage"),
-        F.round(F.avg(share("family")), 4).alias("family_coverage"),
-        F.round(F.avg(share("caught")), 4).alias("caught_coverage"),
-        F.round(F.avg(F.when(share("caught") < WEAK_COVERAGE, 1.0).when(some, 0.0)), 4).alias("caught_weak_share"),
+        rnd(F.avg("own_latency"), 1).alias("detection_latency_ticks"),
+        rnd(F.avg(share("own")), 4).alias("episode_coverage"),
+        rnd(F.avg(share("family")), 4).alias("family_coverage"),
+        rnd(F.avg(share("caught")), 4).alias("caught_coverage"),
+        rnd(F.avg(F.when(share("caught") < WEAK_COVERAGE, 1.0).when(some, 0.0)), 4).alias("caught_weak_share"),
         F.count("caught_latency").alias("caught_events_detected"),
-        F.round(F.avg("caught_latency"), 1).alias("caught_latency_ticks"),
+        rnd(F.avg("caught_latency"), 1).alias("caught_latency_ticks"),
     )
 
 
@@ -117,8 +117,8 @@ def unsupervised_metrics(results: DataFrame, labels: DataFrame, personas=PERSONA
     c = j.agg(*[v.alias(n) for n, v in confusion(truth, F.col("iso_flag")).items()])
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     return c.select(
-        F.round(_ratio(tp, tp + fp), 4).alias("precision"), F.round(_ratio(tp, tp + fn), 4).alias("recall"),
-        F.round(_ratio(2 * tp, 2 * tp + fp + fn), 4).alias("f1"), F.round(_ratio(fp, fp + tn), 4).alias("fpr"), (tp + fn).alias("support"),
+        rnd(_ratio(tp, tp + fp), 4).alias("precision"), rnd(_ratio(tp, tp + fn), 4).alias("recall"),
+        rnd(_ratio(2 * tp, 2 * tp + fp + fn), 4).alias("f1"), rnd(_ratio(fp, fp + tn), 4).alias("fpr"), (tp + fn).alias("support"),
     )
 
 

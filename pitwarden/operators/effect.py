@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pitwarden.functions.exprs import clip, safe_div
+from pitwarden.functions.exprs import clip, rnd, safe_div
 from pitwarden.operators.asof import asof_previous, range_sums
 from pitwarden.operators.labels import episode_accounts
 from pitwarden.operators.lineage import cut
@@ -59,13 +59,13 @@ def spoof_effects(events: DataFrame, orders: DataFrame, prices: DataFrame) -> Da
     move = F.when(F.col("p0") > 0, sign * (F.col("p1") - F.col("p0")) / F.col("p0") * 1e4)
     per_cycle = cycles.groupBy("event_id").agg(F.avg(move).alias("m"), F.count(F.lit(1)).alias("spoof_cycles"))
     genuine = known.filter("leg = 'genuine'").groupBy("event_id").agg(F.sum("quantity").alias("g"), F.sum("filled").alias("f"))
-    rate = F.when(F.col("g") > 0, F.round(F.least(F.lit(1.0), F.coalesce("f", F.lit(0)) / F.col("g")), 4)).otherwise(0.0)
+    rate = F.when(F.col("g") > 0, rnd(F.least(F.lit(1.0), F.coalesce("f", F.lit(0)) / F.col("g")), 4)).otherwise(0.0)
     return (
         ev.join(per_cycle, "event_id", "left").join(genuine, "event_id", "left")
         .select(
             "event_id", "persona",
-            F.round(F.coalesce(F.col("parameters")["realised_fake_depth_share"].cast("double"), F.lit(0.0)), 4).alias("fake_depth_share"),
-            F.round(F.coalesce("m", F.lit(0.0)), 4).alias("favorable_move_bp"),
+            rnd(F.coalesce(F.col("parameters")["realised_fake_depth_share"].cast("double"), F.lit(0.0)), 4).alias("fake_depth_share"),
+            rnd(F.coalesce("m", F.lit(0.0)), 4).alias("favorable_move_bp"),
             F.when(F.col("spoof_cycles") > 0, rate).otherwise(0.0).alias("genuine_fill_rate"),
             F.coalesce("spoof_cycles", F.lit(0)).alias("spoof_cycles"),
         )
@@ -82,7 +82,7 @@ def wash_effects(events: DataFrame, trades: DataFrame, prices: DataFrame) -> Dat
     total = range_sums(ev.select("event_id", "commodity", "start_tick", "end_tick"), prices.select("commodity", "tick", "volume"), ["commodity"], "start_tick", "end_tick", ["volume"])
     out = ev.select("event_id", "persona").join(total.select("event_id", "volume"), "event_id").join(crossed, "event_id", "left")
     washed = F.coalesce("wash_volume", F.lit(0)).cast("long")
-    return out.select("event_id", "persona", F.round(safe_div(washed.cast("double"), "volume"), 4).alias("wash_volume_share"), washed.alias("wash_volume"))
+    return out.select("event_id", "persona", rnd(safe_div(washed.cast("double"), "volume"), 4).alias("wash_volume_share"), washed.alias("wash_volume"))
 
 
 def pump_effects(events: DataFrame, trades: DataFrame, prices: DataFrame) -> DataFrame:
@@ -123,9 +123,9 @@ def pump_effects(events: DataFrame, trades: DataFrame, prices: DataFrame) -> Dat
     pnl = n["sell_notional"] - n["buy_notional"] + (n["buy_quantity"] - n["sell_quantity"]) * F.coalesce("mark", "last_price")
     return q.select(
         "event_id", "persona",
-        F.round(F.when(F.col("t0").isNotNull(), F.coalesce("pressure", F.lit(0.0))).otherwise(0.0), 4).alias("ignition_pressure"),
-        F.round(F.coalesce(lift, F.lit(0.0)), 3).alias("price_lift_bp"),
-        F.when(n["buy_notional"] > 0, F.round(pnl / n["buy_notional"] * 1e4, 3)).otherwise(0.0).alias("pnl_bp"),
+        rnd(F.when(F.col("t0").isNotNull(), F.coalesce("pressure", F.lit(0.0))).otherwise(0.0), 4).alias("ignition_pressure"),
+        rnd(F.coalesce(lift, F.lit(0.0)), 3).alias("price_lift_bp"),
+        F.when(n["buy_notional"] > 0, rnd(pnl / n["buy_notional"] * 1e4, 3)).otherwise(0.0).alias("pnl_bp"),
     )
 
 
@@ -147,7 +147,7 @@ def effect_summary(effects: DataFrame) -> DataFrame:
     """Median of every measure per persona, the number of episodes and the primary measure."""
     primary = F.create_map(*[F.lit(x) for kv in PRIMARY_METRIC.items() for x in kv])
     return effects.groupBy("persona").agg(
-        *[F.round(F.median(m), 4).alias(m) for m in MEASURES if m in effects.columns], F.count(F.lit(1)).alias("episodes")
+        *[rnd(F.median(m), 4).alias(m) for m in MEASURES if m in effects.columns], F.count(F.lit(1)).alias("episodes")
     ).withColumn("primary_metric", primary[F.col("persona")])
 
 
@@ -177,7 +177,7 @@ def account_pnl(events: DataFrame, trades: DataFrame) -> DataFrame:
 
 def pnl_summary(pnl: DataFrame) -> DataFrame:
     return pnl.groupBy("persona").agg(
-        F.round(F.median("pnl_bp"), 2).alias("pnl_bp_median"), F.round(F.avg(F.col("profitable").cast("double")), 3).alias("profitable_share"),
+        rnd(F.median("pnl_bp"), 2).alias("pnl_bp_median"), rnd(F.avg(F.col("profitable").cast("double")), 3).alias("profitable_share"),
         F.count(F.lit(1)).alias("episodes"),
     )
 
@@ -185,15 +185,15 @@ def pnl_summary(pnl: DataFrame) -> DataFrame:
 def merge_pnl(parts: DataFrame) -> DataFrame:
     """Episode-weighted combination of per-market summaries: each value counts once per episode."""
     return parts.groupBy("persona").agg(
-        F.round(F.percentile("pnl_bp_median", 0.5, F.col("episodes")), 2).alias("pnl_bp_median"),
-        F.round(F.sum(F.col("profitable_share") * F.col("episodes")) / F.sum("episodes"), 3).alias("profitable_share"),
+        rnd(F.percentile("pnl_bp_median", 0.5, F.col("episodes")), 2).alias("pnl_bp_median"),
+        rnd(F.sum(F.col("profitable_share") * F.col("episodes")) / F.sum("episodes"), 3).alias("profitable_share"),
         F.sum("episodes").alias("episodes"),
     )
 
 
 def effect_ratio(current: Column, baseline: Column) -> Column:
     """Current primary measure over its baseline; missing when undefined."""
-    return F.when(baseline > 0, F.round(current / baseline, 3))
+    return F.when(baseline > 0, rnd(current / baseline, 3))
 
 
 def evasion(metrics: DataFrame) -> DataFrame:
@@ -212,10 +212,10 @@ def evasion(metrics: DataFrame) -> DataFrame:
         F.when((c("events_total") > 0) & (detected == 0), 1.0).otherwise(0.0)
     )
     out = metrics.withColumns({
-        "coverage": F.round(1.0 - cov, 4),
-        "missed": F.when(cov.isNotNull(), F.round(missed, 4)),
-        "delay": F.when(cov.isNotNull(), F.round(delay, 4)),
+        "coverage": rnd(1.0 - cov, 4),
+        "missed": F.when(cov.isNotNull(), rnd(missed, 4)),
+        "delay": F.when(cov.isNotNull(), rnd(delay, 4)),
     })
     total = sum((F.lit(w) * F.col(n) for n, w in SCORE_WEIGHTS.items()), F.lit(0.0))
-    score = F.when(c("effect_ratio") < EFFECT_FLOOR, 0.0).otherwise(F.round(total * F.least(F.lit(EFFECT_CAP), c("effect_ratio")), 4))
+    score = F.when(c("effect_ratio") < EFFECT_FLOOR, 0.0).otherwise(rnd(total * F.least(F.lit(EFFECT_CAP), c("effect_ratio")), 4))
     return out.withColumn("mutation_score", F.when(F.col("coverage").isNotNull() & c("effect_ratio").isNotNull(), score))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitwarden.config import DetectorConfig
-from pitwarden.functions.exprs import argmax_name, clip
+from pitwarden.functions.exprs import argmax_name, clip, rnd
 
 
 def _limit(thresholds: dict[str, float], name: str, default: float) -> float:
@@ -77,7 +77,7 @@ def flags_table(alerts: DataFrame, cfg: DetectorConfig | None = None, top: str |
     """The published flags table; ``top`` names a map column of attributions."""
     cfg = cfg or DetectorConfig()
     scores = F.map_from_arrays(
-        F.array(*[F.lit(p) for p in cfg.personas]), F.array(*[F.round(f"prob_{p}", 4) for p in cfg.personas])
+        F.array(*[F.lit(p) for p in cfg.personas]), F.array(*[rnd(f"prob_{p}", 4) for p in cfg.personas])
     )
     empty = F.create_map().cast("map<string,double>")
     return alerts.select(
