@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pitwarden.config import FAKE_DEPTH, DetectorConfig
 from pitwarden.functions.exprs import rnd
@@ -133,12 +133,21 @@ def confidence_band(margin):
     return F.when(m >= 0.4, "very high").when(m >= 0.2, "high").when(m >= 0.05, "moderate").otherwise("borderline")
 
 
-def case_trades(cases: DataFrame, trades: DataFrame, pad: int = 0) -> DataFrame:
-    """Prints of the case's market inside its padded span, marked with the account's own side."""
-    spans = cases.select("case_id", "commodity", F.col("trader_id").alias("case_trader"), "start_tick", "end_tick")
-    hit = overlap_join(spans, trades.withColumn("tick_end", F.col("tick")), ["commodity"], ("start_tick", "end_tick"), ("tick", "tick_end"), slack=pad)
-    own = F.when(F.col("buyer_trader_id") == F.col("case_trader"), "buy").when(F.col("seller_trader_id") == F.col("case_trader"), "sell")
-    return hit.withColumn("own_side", own).drop("tick_end")
+def case_prices(cases: DataFrame, tick_prices: DataFrame, pad: int = 120) -> DataFrame:
+    """Last price of every tick of the market inside each padded case span."""
+    spans = cases.select("case_id", "commodity", "start_tick", "end_tick")
+    return overlap_join(spans, tick_prices, ["commodity"], ("start_tick", "end_tick"), ("tick", "tick"), slack=pad)
+
+
+def case_fills(cases: DataFrame, trades: DataFrame, pad: int = 120) -> DataFrame:
+    """The account's own buys and sells inside each padded case span."""
+    side = F.explode(F.array(
+        F.struct(F.col("buyer_trader_id").alias("trader_id"), F.lit("buy").alias("side")),
+        F.struct(F.col("seller_trader_id").alias("trader_id"), F.lit("sell").alias("side")),
+    ))
+    own = trades.select("commodity", "tick", "price", "quantity", side.alias("x")).select("commodity", "tick", "price", "quantity", "x.*")
+    spans = cases.select("case_id", "commodity", "trader_id", "start_tick", "end_tick")
+    return overlap_join(spans, own, ["commodity", "trader_id"], ("start_tick", "end_tick"), ("tick", "tick"), slack=pad)
 
 
 def minute_cases(scores: DataFrame, personas: tuple[str, ...], gap: int = 2) -> DataFrame:
@@ -187,3 +196,15 @@ def attribution_mix(flags: DataFrame, top: str = "top_shap_features") -> DataFra
     )
     total = weights.agg(F.sum("weight").alias("total")).withColumn("_k", F.lit(1))
     return weights.withColumn("_k", F.lit(1)).join(total, "_k").select("feature", (F.col("weight") / F.col("total")).alias("share"))
+
+
+def case_rows(cases: DataFrame, orders: DataFrame, limit: int = 500) -> DataFrame:
+    """First rows of the account's own order events in each case span, with the total count.
+
+    The limit is the page size of the report; ``total`` counts every row.
+    """
+    spans = cases.select("case_id", "commodity", "trader_id", "start_tick", "end_tick")
+    rows = overlap_join(spans, orders, ["commodity", "trader_id"], ("start_tick", "end_tick"), ("tick", "tick"))
+    total = rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("total"))
+    w = Window.partitionBy("case_id").orderBy("tick", "order_id", "event_type")
+    return rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit).join(total, "case_id")

@@ -7,7 +7,7 @@ from importlib import import_module
 from pitwarden.plans.registry import CATALOG, Query
 
 MODULES = (
-    "tables", "generic", "steps", "account", "tape", "bars", "labelling", "alerts", "detection",
+    "tables", "steps", "account", "bars", "labelling", "alerts", "detection",
     "effects", "facts", "mechanism", "overview", "rounds", "quality", "replays", "learning", "streams",
 )
 

@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from pitwarden.config import PERSONAS, DetectorConfig
 from pitwarden.operators import cases as cs, ensemble as en
+from pitwarden.operators.effect import tick_prices
 from pitwarden.operators.lineage import cut
 from pitwarden.plans.labelling import episodes, scored
 from pitwarden.plans.registry import query
 from pitwarden.plans.shaping import rounded
-from pitwarden.plans.sql import EPISODES, SCORED, TRADES, with_ctes
+from pitwarden.plans.sql import EPISODES, LAST_PRICE, SCORED, TRADES, with_ctes
 from pitwarden.sources import derived
 
 THR = derived.THRESHOLDS
@@ -188,15 +189,16 @@ def confidence_bands(spark, sf_dir):
     return alert_cases(spark, sf_dir).groupBy(cs.confidence_band(F.col("score") - 0.9).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("case_price_context", with_ctes(*CASE_CTES) + """SELECT c.case_id, count(*) AS prints, count(*) FILTER (WHERE buyer_trader_id = c.trader_id) AS own_buys,
-  count(*) FILTER (WHERE seller_trader_id = c.trader_id) AS own_sells, min(price) AS low, max(price) AS high FROM cases c JOIN trades t
-  ON t.commodity = c.commodity AND t.tick BETWEEN c.start_tick - 120 AND c.end_tick + 120 GROUP BY 1""", "M11 B3 B4")
+@query("case_price_context", with_ctes(*CASE_CTES) + f""", px AS (SELECT commodity, tick, {LAST_PRICE} AS price FROM trades GROUP BY 1, 2),
+p AS (SELECT c.case_id, count(*) AS ticks, min(price) AS low, max(price) AS high FROM cases c JOIN px ON px.commodity = c.commodity AND px.tick BETWEEN c.start_tick - 120 AND c.end_tick + 120 GROUP BY 1),
+o AS (SELECT c.case_id, count(*) FILTER (WHERE buyer_trader_id = c.trader_id) AS own_buys, count(*) FILTER (WHERE seller_trader_id = c.trader_id) AS own_sells FROM cases c JOIN trades t
+  ON t.commodity = c.commodity AND (buyer_trader_id = c.trader_id OR seller_trader_id = c.trader_id) AND t.tick BETWEEN c.start_tick - 120 AND c.end_tick + 120 GROUP BY 1)
+SELECT * FROM p JOIN o USING (case_id)""", "M11 B3")
 def case_price_context(spark, sf_dir):
-    t = cs.case_trades(alert_cases(spark, sf_dir), derived.staged(spark, sf_dir, "trade_log"), pad=120)
-    return t.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("prints"), F.count_if(F.col("own_side") == "buy").alias("own_buys"), F.count_if(F.col("own_side") == "sell").alias("own_sells"),
-        F.min("price").alias("low"), F.max("price").alias("high"),
-    )
+    c, t = cut(alert_cases(spark, sf_dir)), derived.staged(spark, sf_dir, "trade_log")
+    p = cs.case_prices(c, tick_prices(t)).groupBy("case_id").agg(F.count(F.lit(1)).alias("ticks"), F.min("price").alias("low"), F.max("price").alias("high"))
+    o = cs.case_fills(c, t).groupBy("case_id").agg(F.count_if(F.col("side") == "buy").alias("own_buys"), F.count_if(F.col("side") == "sell").alias("own_sells"))
+    return p.join(o, "case_id")
 
 
 @query("caught_by", with_ctes(*RESULT_CTES, EPISODES) + """, rows AS (

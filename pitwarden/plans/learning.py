@@ -1 +1,173 @@
+"""Training, threshold and skill queries."""
 
+from pyspark.sql import functions as F
+
+from pitwarden.config import PERSONAS, DetectorConfig, FeatureConfig
+from pitwarden.models import detector as dm, forest as fo, scaling as sc, thresholds as th
+from pitwarden.operators import steps as st
+from pitwarden.operators.lineage import cut
+from pitwarden.plans.labelling import LABEL_CTES, scored, span_labels
+from pitwarden.plans.mechanism import SCORES, minute_scores
+from pitwarden.plans import bar_sql as bs
+from pitwarden.plans.registry import query
+from pitwarden.plans.shaping import r, rounded
+from pitwarden.plans.sql import SCORED, TRADES, with_ctes
+
+COLS = ["iso_score", *[f"prob_{p}" for p in PERSONAS]]
+KEYS = ["commodity", "window_start", "trader_id"]
+RANGES = "ranges AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", quantile_cont({c}, 0.5) AS median, CASE WHEN quantile_cont({c}, 0.9) - quantile_cont({c}, 0.1) > 0 THEN quantile_cont({c}, 0.9) - quantile_cont({c}, 0.1) ELSE 1.0 END AS width FROM scored" for c in COLS) + ")"
+
+
+@query("robust_ranges", with_ctes(TRADES, SCORED, RANGES) + f'SELECT "column", {r("median")} AS median, {r("width")} AS width FROM ranges', "L1 D3")
+def robust_ranges(spark, sf_dir):
+    return rounded(sc.robust_ranges(scored(spark, sf_dir), COLS))
+
+
+def attributions(spark, sf_dir):
+    df = scored(spark, sf_dir)
+    return sc.scaled_attribution(sc.robust_scale(df, COLS, sc.robust_ranges(df, COLS)), COLS, 3)
+
+
+_long = " UNION ALL ".join(f"SELECT commodity, window_start, trader_id, '{c}' AS feature, (s.{c} - x.median) / x.width AS v FROM scored s, ranges x WHERE x.\"column\" = '{c}'" for c in COLS)
+ATTR = f"""lng AS ({_long}), topk AS (SELECT *, floor(abs(v) * 1e4 + 0.5) / 1e4 * sign(v) AS value FROM lng QUALIFY row_number() OVER (PARTITION BY commodity, window_start, trader_id ORDER BY abs(v) DESC, feature) <= 3)"""
+
+
+@query("scaled_attribution", with_ctes(TRADES, SCORED, RANGES, ATTR) + "SELECT commodity, window_start, trader_id, feature, value + 0.0 AS value FROM topk", "L17 F3")
+def scaled_attribution(spark, sf_dir):
+    a = attributions(spark, sf_dir)
+    return a.select(*KEYS, F.explode("top_features").alias("feature", "value")).withColumn("value", F.col("value") + 0.0)
+
+
+@query("importance_drift", with_ctes(TRADES, SCORED, RANGES, ATTR) + f""", imp AS (SELECT window_start < 1000 AS early, feature, sum(abs(value)) AS s FROM topk GROUP BY 1, 2), n AS (SELECT window_start < 1000 AS early, count(*) AS n FROM scored GROUP BY 1),
+i AS (SELECT early, feature, s / n AS importance FROM imp JOIN n USING (early))
+SELECT feature, {r('coalesce(a.importance, 0)')} AS before, {r('coalesce(b.importance, 0)')} AS after, {r('coalesce(b.importance, 0) - coalesce(a.importance, 0)')} AS drift
+FROM (SELECT * FROM i WHERE early) a FULL JOIN (SELECT * FROM i WHERE NOT early) b USING (feature)""", "L18")
+def importance_drift(spark, sf_dir):
+    imp = cut(sc.mean_absolute(attributions(spark, sf_dir).withColumn("early", F.col("window_start") < 1000), ["early"]))
+    return rounded(sc.importance_drift(imp.filter("early"), imp.filter("NOT early")))
+
+
+def labelled(spark, sf_dir):
+    return scored(spark, sf_dir).join(span_labels(spark, sf_dir).drop("window_end"), KEYS)
+
+
+LAB = "lab AS (SELECT s.*, spoofing, wash_trading, pump_and_dump, layering FROM scored s JOIN labels USING (commodity, window_start, trader_id))"
+L_CTES = [*LABEL_CTES, LAB]
+_frac = "CAST('0x' || substr(md5(commodity || '|' || window_start || '|' || trader_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+@query("negative_subsample", with_ctes(*L_CTES) + f"""SELECT commodity, window_start, trader_id, spoofing, CASE WHEN spoofing = 1 THEN 1.0 WHEN trader_id LIKE 'acct_3%' THEN 3.0 ELSE 4.0 END::DOUBLE AS weight FROM lab
+  WHERE spoofing = 1 OR trader_id LIKE 'acct_3%' OR {_frac} < 0.25""", "L7")
+def negative_subsample(spark, sf_dir):
+    s = th.subsample_negatives(labelled(spark, sf_dir), "spoofing", KEYS, 0.25, ("acct_3",), 3.0)
+    return s.select(*KEYS, "spoofing", "weight")
+
+
+@query("class_weights", with_ctes(*L_CTES) + f"SELECT count(*) FILTER (WHERE spoofing = 1) AS positives, {r('least(50.0, greatest(1.0, count(*) FILTER (WHERE spoofing <> 1) / greatest(count(*) FILTER (WHERE spoofing = 1), 1)))')} AS class_weight FROM lab", "L6")
+def class_weights(spark, sf_dir):
+    return rounded(th.class_weight(labelled(spark, sf_dir), "spoofing"))
+
+
+@query("group_folds", with_ctes(TRADES, SCORED) + """, g AS (SELECT trader_id, CAST((row_number() OVER (ORDER BY count(*) DESC, trader_id) - 1) % 3 AS INTEGER) AS fold FROM scored GROUP BY 1)
+SELECT trader_id, fold, count(*) AS rows FROM scored JOIN g USING (trader_id) GROUP BY 1, 2""", "L8 L16")
+def group_folds(spark, sf_dir):
+    return th.group_folds(scored(spark, sf_dir), "trader_id", 3).groupBy("trader_id", "fold").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def sweep_sql(lo: float, hi: float, n: int) -> str:
+    step = (hi - lo) / (n - 1)
+    ts = ", ".join(f"({i}, {round(lo + i * step, 10)}::DOUBLE)" for i in range(n))
+    return f"""sweep AS (SELECT i, threshold, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1 FROM (
+  SELECT g.i, g.threshold, count(*) FILTER (WHERE prob_spoofing >= threshold AND spoofing = 1) AS tp, count(*) FILTER (WHERE prob_spoofing >= threshold AND spoofing = 0) AS fp,
+    count(*) FILTER (WHERE prob_spoofing < threshold AND spoofing = 1) AS fn FROM lab CROSS JOIN (VALUES {ts}) g(i, threshold) GROUP BY 1, 2))"""
+
+
+@query("f1_sweep", with_ctes(*L_CTES, sweep_sql(0.25, 0.9, 27)) + f"SELECT CAST(i AS INTEGER) AS i, threshold, {r('f1')} AS f1 FROM sweep", "L9")
+def f1_sweep(spark, sf_dir):
+    s = th.f1_sweep(labelled(spark, sf_dir), "prob_spoofing", "spoofing", 0.25, 0.9, 27)
+    return s.select("i", "threshold", F.floor(F.col("f1") * 1e6 + 0.5).cast("double").alias("f1")).withColumn("f1", F.col("f1") / 1e6)
+
+
+@query("picked_threshold", with_ctes(*L_CTES, sweep_sql(0.25, 0.9, 27)) + f""", sm AS (SELECT *, (coalesce(lag(f1) OVER w, f1) + f1 + coalesce(lead(f1) OVER w, f1)) / 3.0::DOUBLE AS smooth FROM sweep WINDOW w AS (ORDER BY i)),
+mid AS (SELECT max(smooth) AS top, quantile_cont(threshold, 0.5) FILTER (WHERE smooth >= (SELECT max(smooth) FROM sm) - 0.005) AS m FROM sm)
+SELECT threshold, {r('top')} AS best_f1 FROM sm, mid ORDER BY round(abs(threshold - m), 9), threshold LIMIT 1""", "L10")
+def picked_threshold(spark, sf_dir):
+    s = cut(th.f1_sweep(labelled(spark, sf_dir), "prob_spoofing", "spoofing", 0.25, 0.9, 27))
+    t = th.pick_threshold(s)
+    return t.withColumn("best_f1", F.floor(F.col("best_f1") * 1e6 + 0.5) / 1e6)
+
+
+@query("budget_threshold", with_ctes(*L_CTES, sweep_sql(0.05, 0.95, 91)) + """SELECT round(greatest((SELECT threshold FROM sweep ORDER BY f1 DESC, i LIMIT 1), (SELECT quantile_cont(prob_spoofing, 0.98) FROM lab)), 4) AS threshold""", "L11")
+def budget_threshold(spark, sf_dir):
+    return th.budget_threshold(cut(labelled(spark, sf_dir)), "prob_spoofing", "spoofing", 0.02)
+
+
+@query("smoothed_probabilities", with_ctes(*bs.BARS, SCORES) + "SELECT commodity, segment, minute, " + ", ".join(
+    r(f"avg(prob_{p}) OVER (PARTITION BY commodity, segment ORDER BY minute ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)") + f" AS prob_{p}" for p in PERSONAS) + " FROM minute_scores", "L12 L15 E2")
+def smoothed_probabilities(spark, sf_dir):
+    probs = [f"prob_{p}" for p in PERSONAS]
+    s = th.smooth_probabilities(minute_scores(spark, sf_dir)[1], probs, 5)
+    return rounded(s.select("commodity", "segment", "minute", *probs))
+
+
+SKILL = """d AS (SELECT commodity, prob_spoofing AS s, count(*) FILTER (WHERE spoofing = 1) AS p, count(*) FILTER (WHERE spoofing = 0) AS n FROM lab GROUP BY 1, 2),
+dd AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY commodity ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(p) OVER dn AS tp, sum(p + n) OVER dn AS al FROM d WINDOW dn AS (PARTITION BY commodity ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT commodity, sum(p) AS P1, sum(n) AS N1, sum(p * (below + n / 2)) AS u, sum(p * tp / al) AS ap, coalesce(sum(p) FILTER (WHERE s >= 0.9), 0) AS tpf, coalesce(sum(n) FILTER (WHERE s >= 0.9), 0) AS fpf FROM dd GROUP BY 1),
+skill AS (SELECT commodity, CASE WHEN P1 > 0 AND N1 > 0 THEN round(u / (P1 * N1), 4) END AS auc, CASE WHEN P1 > 0 AND N1 > 0 THEN round(ap / P1, 4) END AS avg_precision, round(P1 / (P1 + N1), 4) AS base_rate,
+  CASE WHEN P1 > 0 AND N1 > 0 THEN round(tpf / greatest(tpf + fpf, 1), 4) END AS precision, CASE WHEN P1 > 0 AND N1 > 0 THEN round(tpf / P1, 4) END AS recall, CASE WHEN P1 > 0 AND N1 > 0 THEN round(2 * tpf / (tpf + fpf + P1), 4) END AS f1,
+  round((tpf + fpf) / (P1 + N1), 4) AS flag_rate FROM k)"""
+
+
+def skill(spark, sf_dir):
+    return th.skill(labelled(spark, sf_dir), "prob_spoofing", "spoofing", 0.9, ["commodity"])
+
+
+query("score_skill", with_ctes(*L_CTES, SKILL) + "SELECT * FROM skill", "L13")(skill)
+
+
+@query("skill_verdict", with_ctes(*L_CTES, SKILL) + """SELECT round(m, 3) AS mean_auc, CASE WHEN m IS NULL THEN 'unknown' WHEN m < 0.6 THEN 'near chance' WHEN m < 0.7 THEN 'weak' WHEN m < 0.8 THEN 'moderate' ELSE 'good' END AS level
+  FROM (SELECT avg(auc) AS m FROM skill)""", "L14")
+def skill_verdict(spark, sf_dir):
+    m = skill(spark, sf_dir).agg(F.avg("auc").alias("m"))
+    x = F.col("m")
+    level = F.when(x.isNull(), "unknown").when(x < 0.6, "near chance").when(x < 0.7, "weak").when(x < 0.8, "moderate").otherwise("good")
+    return m.select(th.rnd(x, 3).alias("mean_auc"), level.alias("level"))
+
+
+BEHAVIOUR = ["n_exec", "exec_buy", "exec_sell", "aggr_vol", "dev_sum", "exec_q2"]
+
+
+def trade_features(spark, sf_dir):
+    from pitwarden.plans.steps import CFG, base_tables
+
+    trades, _, _, path, _ = base_tables(spark, sf_dir)
+    f = cut(st.trade_steps(st.leg_ticks(trades, path, CFG), CFG))
+    return f.withColumn("window_start", F.col("step") * 30).drop("step")
+
+
+@query("forest_scores", None, "L2 L3 L4")
+def forest_scores(spark, sf_dir):
+    f = trade_features(spark, sf_dir)
+    forest = fo.fit_forest(f, BEHAVIOUR, KEYS, n_trees=100)
+    return fo.forest_scores(f, forest).withColumn("iso_flag", F.col("iso_score") >= 1 - forest.contamination)
+
+
+@query("market_forest_scores", None, "L5")
+def market_forest_scores(spark, sf_dir):
+    from pitwarden.operators.windows import MARKET_CONTEXT
+    from pitwarden.plans.steps import market_windows
+
+    m = cut(market_windows(spark, sf_dir))
+    cols = list(MARKET_CONTEXT)
+    distinct = cut(m.select(*cols).distinct().withColumn("row", F.xxhash64(*cols)))
+    return fo.market_scores(m, cols, fo.fit_forest(distinct, cols, ["row"], n_trees=100, contamination=0.05)).select("commodity", "window_start", "mkt_anomaly_score")
+
+
+@query("detector_alerts", None, "L4 L6 L8 M3")
+def detector_alerts(spark, sf_dir):
+    f = trade_features(spark, sf_dir)
+    labels = span_labels(spark, sf_dir)
+    cfg = DetectorConfig(personas=("spoofing", "wash_trading"), families={}, n_trees=50, boosting_rounds=5, boosting_rounds_small=5, cv_folds=2, contamination=0.05)
+    d = dm.train(f, labels.select(*KEYS, *cfg.personas), BEHAVIOUR, cfg=cfg)
+    return dm.score(f, d).select(*KEYS, "iso_score", *[f"prob_{p}" for p in cfg.personas], "final_flag", "alert_tier", "predicted_persona")

@@ -1,17 +1,18 @@
-"""Replay-scoring queries: each episode is read as one replayed market."""
+"""Replay-scoring queries: 500 ticks of one commodity stand for a replayed market, its first episode for the case."""
 
 from pyspark.sql import functions as F
 
 from pitwarden.operators import detection as dt, replay as rp
-from pitwarden.operators.lineage import cut
 from pitwarden.plans.alerts import RESULT_CTES, results
 from pitwarden.plans.detection import EPI, HITS, LONG_CTES, long
 from pitwarden.plans.labelling import episodes
 from pitwarden.plans.registry import query
 from pitwarden.plans.sql import EPISODES, with_ctes
 
-CASES = """rc AS (SELECT event_id AS market, commodity, 'case_' || (CAST(right(event_id, 9) AS BIGINT) % 7) AS name, persona AS label, start_tick, end_tick, trader_ids FROM episodes),
-rw0 AS (SELECT rc.*EXCLUDE (commodity), r.commodity, r.window_start, r.trader_id, r.window_end, r.final_flag, r.predicted_persona, list_contains(trader_ids, r.trader_id) AS is_case FROM rc JOIN results r ON r.commodity = rc.commodity),
+CASES = """re AS (SELECT *, commodity || '~' || (start_tick // 500) AS market FROM episodes),
+rc AS (SELECT market, 'case_' || (CAST(right(event_id, 9) AS BIGINT) % 7) AS name, persona AS label, start_tick, end_tick, trader_ids FROM re QUALIFY row_number() OVER (PARTITION BY market ORDER BY event_id) = 1),
+rw0 AS (SELECT rc.*, r.commodity, r.window_start, r.trader_id, r.window_end, r.final_flag, r.predicted_persona, list_contains(trader_ids, r.trader_id) AS is_case
+  FROM rc JOIN results r ON rc.market = r.commodity || '~' || (r.window_start // 500)),
 rw1 AS (SELECT *, is_case AND least(window_end, end_tick) - greatest(window_start, start_tick) >= 15 AS ins, coalesce(predicted_persona = label, false) AS rl FROM rw0),
 oc AS (SELECT *, CASE WHEN ins AND final_flag AND rl THEN 'TP right label' WHEN ins AND final_flag THEN 'TP wrong label' WHEN ins THEN 'FN missed' WHEN final_flag AND is_case THEN 'FP case account outside episode'
   WHEN final_flag THEN 'FP legitimate account' ELSE 'TN' END AS outcome FROM rw1),
@@ -32,11 +33,15 @@ SCORES = f"""sc AS (SELECT market, name AS "case", label, ew AS episode_windows,
 
 
 def outcomes(spark, sf_dir):
-    ev = episodes(spark, sf_dir)
-    cases = ev.select(F.col("event_id").alias("market"), "commodity", F.concat(F.lit("case_"), (F.substring("event_id", 4, 9).cast("long") % 7).cast("string")).alias("case"), "persona", "start_tick", "end_tick", "trader_ids")
-    w = cut(results(spark, sf_dir).select("commodity", "window_start", "trader_id", "window_end", "final_flag", "predicted_persona"))
-    windows = cases.select("market", "commodity").join(w, "commodity")
-    return rp.window_outcomes(windows, cases.drop("commodity"))
+    def market(tick: str):
+        return F.concat_ws("~", "commodity", F.expr(f"{tick} div 500").cast("string"))
+
+    ev = episodes(spark, sf_dir).withColumn("market", market("start_tick"))
+    first = ev.groupBy("market").agg(F.min(F.struct("event_id", "persona", "start_tick", "end_tick", "trader_ids")).alias("x")).select("market", "x.*")
+    name = F.concat(F.lit("case_"), (F.substring("event_id", 4, 9).cast("long") % 7).cast("string"))
+    windows = results(spark, sf_dir).withColumn("market", market("window_start"))
+    windows = windows.select("market", "commodity", "window_start", "trader_id", "window_end", "final_flag", "predicted_persona")
+    return rp.window_outcomes(windows, first.withColumn("case", name))
 
 
 @query("replay_outcomes", with_ctes(*R_CTES) + 'SELECT name AS "case", outcome, count(*) AS n FROM oc GROUP BY 1, 2', "U3 B7")
@@ -65,10 +70,10 @@ def replay_pooled(spark, sf_dir):
     return rp.pooled(rp.score_markets(outcomes(spark, sf_dir)), ["label"])
 
 
-@query("replay_forgetting", with_ctes(*R_CTES, SCORES) + """, br AS (SELECT "case", CAST(right(market, 9) AS BIGINT) % 3 AS round, round(avg(recognised_family::INT), 4) AS recognised_family FROM sc GROUP BY 1, 2)
+@query("replay_forgetting", with_ctes(*R_CTES, SCORES) + """, br AS (SELECT "case", CAST(split_part(market, '~', 2) AS BIGINT) AS round, round(avg(recognised_family::INT), 4) AS recognised_family FROM sc GROUP BY 1, 2)
 SELECT *, lag(recognised_family) OVER w AS before, coalesce(recognised_family < lag(recognised_family) OVER w - 0.25::DOUBLE, false) AS forgotten FROM br WINDOW w AS (PARTITION BY "case" ORDER BY round)""", "U5")
 def replay_forgetting(spark, sf_dir):
-    s = rp.score_markets(outcomes(spark, sf_dir)).withColumn("round", F.substring("market", 4, 9).cast("long") % 3)
+    s = rp.score_markets(outcomes(spark, sf_dir)).withColumn("round", F.split("market", "~")[1].cast("long"))
     return rp.forgetting(rp.summarise(s, ["case", "round"]).select("case", "round", "recognised_family"))
 
 
