@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pitwarden.config import PEER_Z_COLUMNS, SELF_Z_COLUMNS, FeatureConfig
 from pitwarden.functions.exprs import safe_div
 from pitwarden.operators import history, linked, rings, steps, windows
-from pitwarden.operators.lineage import cut
+from pitwarden.operators.lineage import cut, cut_all
 
 RING_FEATURES = {"mutual_cpty_share": 0.0, "ring_size": 1.0, "ring_volume_share": 0.0}
 LINK_FEATURES = {"linked_spoof_signature": 0.0, "linked_lift_log": 0.0}
@@ -40,17 +40,16 @@ class StepTables:
 def build_steps(trades: DataFrame, orders: DataFrame, cfg: FeatureConfig) -> StepTables:
     """Reduce both logs; each table is written once, because several stages read it."""
     bounds = cut(steps.step_bounds(trades, orders, cfg))
-    path = cut(steps.step_price_path(trades, bounds, cfg))
-    base = cut(steps.size_baseline(orders, bounds, cfg))
-    placed = cut(steps.enrich_placed(orders, path, base, cfg))
+    path, base = cut_all(steps.step_price_path(trades, bounds, cfg), steps.size_baseline(orders, bounds, cfg))
+    placed, legs = cut_all(steps.enrich_placed(orders, path, base, cfg), steps.leg_ticks(trades, path, cfg))
     cancels = cut(steps.enrich_cancels(orders, placed, cfg))
-    legs = cut(steps.leg_ticks(trades, path, cfg))
+    by_order, bait, by_trade, pairs = cut_all(
+        steps.order_steps(placed, cancels, cfg), steps.bait_groups(cancels, cfg),
+        steps.trade_steps(legs, cfg), steps.pair_steps(legs, cfg),
+    )
     return StepTables(
         bounds=bounds, price_path=path, baseline=base, placed=placed, cancels=cancels, legs=legs,
-        order_steps=cut(steps.order_steps(placed, cancels, cfg)),
-        trade_steps=steps.trade_steps(legs, cfg),
-        pair_steps=steps.pair_steps(legs, cfg),
-        bait=cut(steps.bait_groups(cancels, cfg)),
+        order_steps=by_order, trade_steps=by_trade, pair_steps=pairs, bait=bait,
     )
 
 
@@ -85,8 +84,7 @@ def account_features(trades: DataFrame, orders: DataFrame, cfg: FeatureConfig |
     t = build_steps(trades, orders, cfg)
     f, pairs, baseline = behaviour(t, cfg)
     ring = rings.ring_features(cut(rings.mutual_pairs(pairs, baseline, cfg)), cfg)
-    link_win, rate_win = link_windows(t, cfg)
-    link = linked.linked_features(cut(link_win), cut(rate_win), cfg)
+    link = linked.linked_features(*cut_all(*link_windows(t, cfg)), cfg)
     market = windows.market_windows(t.price_path, t.order_steps, t.bounds, cfg)
     f = (
         f.join(ring, [*k, "trader_id"], "left").join(link, [*k, "trader_id"], "left")
