@@ -11,6 +11,19 @@ def half_up(c: Column, digits: int = 6) -> Column:
     return F.floor(c * scale + 0.5) / scale
 
 
+# A prime number of steps per unit: short decimals never fall half-way between two steps.
+GRID = 999983
+
+
+def on_grid(c: Column) -> Column:
+    """Nearest step of 1/GRID, for values that are short decimals and tie at any digit count."""
+    return F.floor(c * float(GRID) + 0.5) / float(GRID)
+
+
+def g(expr: str) -> str:
+    return f"floor(CAST({expr} AS DOUBLE) * {GRID}::DOUBLE + 0.5) / {GRID}::DOUBLE"
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column."""
     return df.select(*[
