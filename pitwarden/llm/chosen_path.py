@@ -6,9 +6,12 @@ its members go to the child named by their own token. Branching stops in nodes o
 are compared exhaustively on their sketches. A node that stays large (copies of one text agree on almost every token) is
 compared in chunks that share its first member.
 
-Candidates are confirmed on the full sets in two turns. First a spanning forest of each node's candidate links; after
-it, the candidates between classes that are still in different components. A link inside a component cannot change it,
-so nothing is lost by not writing all pairs of a group of copies.
+Candidates are confirmed on the full sets in two turns. First the greatest spanning forest of each node's candidate
+links; after it, the candidates between classes that are still in different components. A link inside a component cannot
+change it, so nothing is lost by not writing all pairs of a group of copies. Where a node has few such candidates they
+are written as pairs, once for all trees; where it has many, the full sets of its members are brought to the node and
+compared there, and only the links that join components are written. Either way a node writes rows in proportion to its
+members.
 
 Recall: a pair of similarity s shares a node of depth d in one tree with probability s**d, so it escapes all trees with
 (1 - s**d)**trees: below 1e-9 at depth 1 and 1e-3 at ``max_depth`` for s = 0.85 and 16 trees.
@@ -48,7 +51,7 @@ class JoinRule:
         return int(TOKENS * p - 4.6 * (TOKENS * p * (1 - p)) ** 0.5)
 
 
-TOKENS = 64
+TOKENS = 128
 _rng = np.random.default_rng(98765)
 _A = _rng.integers(1, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, TOKENS, dtype=np.uint64)
@@ -111,22 +114,25 @@ def text_id(text: Column) -> Column:
 
 
 def describe(docs: DataFrame, rule: JoinRule) -> DataFrame:
-    """(doc_id, tid, cid, n, tokens): set class, set size and minwise tokens of every row."""
+    """(doc_id, tid, cid, n, tokens, sketch): set class, set size and minwise tokens of every row; the sketch has the
+    lowest byte of each token."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id(F.col("text")).alias("tid"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 ids, tids, texts = (batch.slice(lo, 512).column(i) for i in range(3))
-                cids, sizes, tokens = [], [], []
+                cids, sizes, tokens, sketch = [], [], [], []
                 for text in texts.to_pylist():
                     found = shingles(text, rule.words)
                     sizes.append(len(found))
                     cids.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                    tokens.append(tokens_of(found).view(np.int32) if len(found) else None)
-                yield {"doc_id": ids, "tid": tids, "cid": cids, "n": sizes, "tokens": tokens}
+                    own = tokens_of(found) if len(found) else None
+                    tokens.append(None if own is None else own.view(np.int32))
+                    sketch.append(None if own is None else own.astype(np.uint8).tobytes())
+                yield {"doc_id": ids, "tid": tids, "cid": cids, "n": sizes, "tokens": tokens, "sketch": sketch}
 
-    return by_batch(rows, "doc_id long, tid binary, cid binary, n long, tokens array<int>", run)
+    return by_batch(rows, "doc_id long, tid binary, cid binary, n long, tokens array<int>, sketch binary", run)
 
 
 def _token(path: Column) -> Column:
@@ -153,60 +159,130 @@ def tree_nodes(classes: DataFrame, rule: JoinRule) -> tuple[DataFrame, DataFrame
 
 
 def forest(sketch: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """A spanning forest of the candidate links of one node."""
+    """The greatest spanning forest of the candidate links of one node, grown from one member after the other."""
     out = []
     free = np.arange(len(sketch))
-    queue: list[int] = []
+    best = np.full(len(sketch), -1)
+    near = np.zeros(len(sketch), np.int64)
     while len(free):
-        if not queue:
-            queue.append(int(free[0]))
-            free = free[1:]
-        one = queue.pop(0)
-        near = (sketch[free] == sketch[one]).sum(axis=1) >= least
-        for other in free[near].tolist():
-            out.append((one, other))
-            queue.append(other)
-        free = free[~near]
+        at = int(np.argmax(best[free]))
+        one = int(free[at])
+        if best[one] >= least:
+            out.append((int(near[one]), one))
+        free = np.delete(free, at)
+        alike = (sketch[free] == sketch[one]).sum(axis=1)
+        closer = alike > best[free]
+        best[free[closer]], near[free[closer]] = alike[closer], one
     return out
 
 
-def across(sketch: np.ndarray, component: list, least: int) -> list[tuple[int, int]]:
-    """Candidate links between members of different components."""
-    number = np.unique(np.array([hash(c) for c in component]), return_inverse=True)[1]
-    out = []
+def across(sketch: np.ndarray, component: list, least: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Candidate links between members of different components, at most ``DENSE`` per member; if there are more, none,
+    but which members have any."""
+    names: dict = {}
+    number = np.array([names.setdefault(c, len(names)) for c in component])
+    out: list[tuple[int, int]] = []
+    busy = np.zeros(len(sketch), bool)
+    dense = False
     for i in range(len(sketch) - 1):
-        near = (sketch[i + 1 :] == sketch[i]).sum(axis=1) >= least
-        near &= number[i + 1 :] != number[i]
-        out += [(i, i + 1 + int(j)) for j in np.flatnonzero(near)]
-    return out
+        near = np.flatnonzero(((sketch[i + 1 :] == sketch[i]).sum(axis=1) >= least) & (number[i + 1 :] != number[i])) + i + 1
+        busy[i] |= len(near) > 0
+        busy[near] = True
+        if not dense:
+            out += [(i, int(j)) for j in near]
+            dense = len(out) > DENSE * len(sketch)
+    return ([], busy) if dense else (out, np.zeros(len(sketch), bool))
 
 
-def node_links(members: DataFrame, rule: JoinRule, by_component: bool) -> DataFrame:
-    """Candidate pairs (a < b) of each node. ``members``: node, cid, sketch and, if told, component."""
-    columns = ["node", "cid", "sketch", *(["component"] if by_component else [])]
-    dealt = members.select(columns).repartition(width(members.sparkSession), "node").sortWithinPartitions("node", "cid")
+DENSE = 4
 
-    def solve(rows):
-        sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), TOKENS)
-        pairs = across(sketch, [r[3] for r in rows], rule.sketch_least) if by_component else forest(sketch, rule.sketch_least)
-        return [(rows[i][1], rows[j][1]) if rows[i][1] < rows[j][1] else (rows[j][1], rows[i][1]) for i, j in pairs]
+
+def by_node(members: DataFrame, columns: list[str], schema: str, solve) -> DataFrame:
+    """Call ``solve`` with the rows of each node (node first, then cid, ...) and collect the tuples it returns."""
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    dealt = members.select(columns).repartition(width(members.sparkSession), "node").sortWithinPartitions("node", "cid")
 
     def run(batches):
-        node, held, out = None, [], []
+        held: list[tuple] = []
+        out: list[tuple] = []
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(len(columns))), strict=True):
-                if row[0] != node:
+                if held and row[0] != held[0][0]:
                     if len(held) > 1:
                         out += solve(held)
-                    node, held = row[0], []
+                    held = []
                 held.append(row)
             if out:
-                yield {"a": [p[0] for p in out], "b": [p[1] for p in out]}
+                yield dict(zip(names, zip(*out, strict=True), strict=True))
                 out = []
         if len(held) > 1 and (out := solve(held)):
-            yield {"a": [p[0] for p in out], "b": [p[1] for p in out]}
+            yield dict(zip(names, zip(*out, strict=True), strict=True))
+
+    return by_batch(dealt, schema, run)
 
-    return by_batch(dealt, "a binary, b binary", run).distinct()
+
+def _sketches(rows: list[tuple]) -> np.ndarray:
+    return np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), TOKENS)
+
+
+def _ordered(a: bytes, b: bytes) -> tuple[bytes, bytes]:
+    return (a, b) if a < b else (b, a)
+
+
+def first_links(members: DataFrame, rule: JoinRule) -> DataFrame:
+    """Candidate pairs (a < b): the greatest spanning forest of every node. ``members``: node, cid, sketch."""
+
+    def solve(rows):
+        return [_ordered(rows[i][1], rows[j][1]) for i, j in forest(_sketches(rows), rule.sketch_least)]
+
+    return by_node(members, ["node", "cid", "sketch"], "a binary, b binary", solve).distinct()
+
+
+def open_links(members: DataFrame, rule: JoinRule) -> DataFrame:
+    """(node, a, b): candidates between components; from a node with many of them its members (b is null).
+
+    ``members``: node, cid, sketch, component.
+    """
+
+    def solve(rows):
+        pairs, busy = across(_sketches(rows), [r[3] for r in rows], rule.sketch_least)
+        return [(rows[i][0], *_ordered(rows[i][1], rows[j][1])) for i, j in pairs] + [(rows[i][0], rows[i][1], None) for i in np.flatnonzero(busy)]
+
+    return by_node(members, ["node", "cid", "sketch", "component"], "node long, a binary, b binary", solve)
+
+
+def compare_nodes(members: DataFrame, rule: JoinRule) -> DataFrame:
+    """Links (a, b) that join the components of a node, found by comparing all full sets in it.
+
+    ``members``: node, cid, items, component. One pass over the node's shingles gives a member's intersections with all.
+    """
+
+    def solve(rows):
+        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+        size = np.array(list(map(len, sets)))
+        ends = np.cumsum(size)
+        starts = ends - size
+        number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        parent = {r[3]: r[3] for r in rows}
+
+        def top(c):
+            while parent[c] != c:
+                c = parent[c]
+            return c
+
+        out = []
+        for i, row in enumerate(rows):
+            mark = np.zeros(int(ends[-1]), bool)
+            mark[number[starts[i] : ends[i]]] = True
+            common = np.add.reduceat(mark[number].astype(np.int64), starts)
+            for j in np.flatnonzero(100 * common >= rule.percent * (size[i] + size - common)):
+                p, q = top(row[3]), top(rows[j][3])
+                if p != q:
+                    parent[q] = p
+                    out.append(_ordered(row[1], rows[j][1]))
+        return out
+
+    return by_node(members, ["node", "cid", "items", "component"], "a binary, b binary", solve).distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, rule: JoinRule) -> DataFrame:
@@ -261,13 +337,12 @@ def components(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
     """(doc_id, tid, cid, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     rows = stage(describe(docs, rule), "sets")
     filled = rows.filter("cid IS NOT NULL")
-    sketch = lambda: F.unhex(F.array_join(F.transform("tokens", lambda t: F.lpad(F.hex(F.pmod(t, F.lit(256))), 2, "0")), ""))
-    classes = stage(filled.groupBy("cid").agg(F.min("tid").alias("tid"), F.first("tokens").alias("tokens")).withColumn("sketch", sketch()), "classes")
+    classes = stage(filled.groupBy("cid").agg(F.min("tid").alias("tid"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "classes")
     small, large = tree_nodes(classes, rule)
     sketches = classes.select("cid", "sketch")
     has_large = not large.isEmpty()
     near = small.unionByName(_chunked(large, rule)) if has_large else small
-    pairs = stage(node_links(near.join(sketches, "cid"), rule, False), "pairs")
+    pairs = stage(first_links(near.join(sketches, "cid"), rule), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "tid"), "cid")
     sets = stage(full_sets(docs, wanted, rule), "items")
     links = stage(confirm(pairs, sets, rule), "links")
@@ -281,10 +356,12 @@ def components(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
     if has_large:
         inside = large.join(label, "cid")
         rest = rest.select("node", "cid", "component").unionByName(_chunk_pairs(inside.join(mixed(inside), "node"), rule))
-    late = stage(node_links(rest.join(sketches, "cid"), rule, True).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    late = stage(open_links(rest.join(sketches, "cid"), rule), "open")
     if not late.isEmpty():
-        found = stage(connected_components(links.unionByName(confirm(late, sets, rule)), [], "a", "b"), "components")
-    placed = rows.drop("tokens").join(found.withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        few = late.filter("b IS NOT NULL").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        many = late.filter("b IS NULL").select("node", F.col("a").alias("cid")).join(sets.join(label, "cid"), "cid")
+        found = stage(connected_components(links.unionByName(confirm(few, sets, rule)).unionByName(compare_nodes(many, rule)), [], "a", "b"), "components")
+    placed = rows.drop("tokens", "sketch").join(found.withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = placed.filter("cid IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "component", "left").select(
         "doc_id", "tid", "cid", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
