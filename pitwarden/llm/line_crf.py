@@ -82,7 +82,7 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
-def line_features(line: bytes, repeated: bool, at_end: bool) -> list[float]:
+def line_features(line: bytes, repeated: bool) -> list[float]:
     n = len(line)
     words = line.split()
     k = len(words)
@@ -112,7 +112,7 @@ def features_of(text: bytes) -> tuple[np.ndarray, list[int], int]:
         if k:
             seen.add(line)
         again += dup
-        rows.append(line_features(line, dup, False))
+        rows.append(line_features(line, dup))
         counts.append(k)
     return np.array(rows, np.float64), counts, again
 
@@ -189,14 +189,17 @@ def fit_field(texts: list[tuple[np.ndarray, np.ndarray]], rule: LabelRule, chain
     return LineField(emit, step, first)
 
 
-def train(labelled: DataFrame, rule: LabelRule = LabelRule()) -> LineField:
-    """Fit the field on at most ``max_documents`` rows of (text, quality), drawn evenly by hash of the text.
+def train(docs: DataFrame, labels: DataFrame, rule: LabelRule = LabelRule()) -> LineField:
+    """Fit the field on at most ``max_documents`` labelled texts, half of each quality, drawn by hash of the id.
 
-    Without rows of both kinds the field is flat and calls every line content.
+    Without texts of both kinds the field is flat and calls every line content.
     """
     half = max(1, rule.max_documents // 2)
-    drawn = labelled.filter("text IS NOT NULL AND quality IS NOT NULL").select("text", F.col("quality").cast("int").alias("quality"), F.xxhash64(F.lit(rule.seed), "text").alias("h"))
-    rows = [r for q in (0, 1) for r in drawn.filter(F.col("quality") == q).orderBy("h", "text").limit(half).collect()]
+    known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    drawn = [known.filter(F.col("quality") == q).orderBy(F.xxhash64(F.lit(rule.seed), "doc_id"), "doc_id").limit(half) for q in (0, 1)]
+    # Bounded by max_documents, so it may be broadcast; the texts are read where they are.
+    sample = drawn[0].unionByName(drawn[1])
+    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").collect()
     data = []
     for r in rows:
         x, counts, _ = features_of(r.text.encode())

@@ -25,15 +25,8 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    rule = line_crf.LabelRule()
-    # The sample is drawn from the ids first, so the texts are read where they are.
-    sample = (
-        labels(spark, sf_dir).filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64(F.lit(rule.seed), "doc_id"), "doc_id").limit(8 * rule.max_documents)
-    )
-    field = line_crf.train(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), rule)
-    return line_crf.line_quality(docs.select("doc_id", "text"), field, rule).drop("text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return line_crf.line_quality(docs, line_crf.train(docs, labels(spark, sf_dir))).drop("text")
 
 
 def op2_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
