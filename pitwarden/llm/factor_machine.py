@@ -96,7 +96,7 @@ def fit(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rule:
     size = (1 << rule.bits) + N_STATS
     share = float(labels.mean()) if len(labels) else 0.5
     flat = Machine(math.log(max(share, 1e-6) / max(1 - share, 1e-6)), np.zeros(size, np.float32), np.zeros((size, rule.rank), np.float32))
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         return flat
     weight = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share))  # both kinds count the same
     rng = np.random.default_rng(rule.seed)
