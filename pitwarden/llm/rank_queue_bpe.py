@@ -22,55 +22,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pitwarden.llm.common import add_columns
 
 LOW = 63
-CACHE_ENTRIES = 300_000
-CACHED_BYTES = 64  # longer pre-tokens are not kept
+CACHE_ENTRIES = 700_000  # in each of two generations; under 400 MB in a worker
+CACHED_CHARS = 32  # longer pre-tokens are not kept
 
 
 class RankQueue:
-    """Positions by merge rank; ranks below 64**3."""
+    """Positions by merge rank, for ranks below 2**18; empty again after every pre-token, so it is made once."""
 
     __slots__ = ("buckets", "bottom", "middle", "top")
 
     def __init__(self) -> None:
         self.buckets: dict[int, list[int]] = {}
-        self.bottom: dict[int, int] = {}
-        self.middle: dict[int, int] = {}
-        self.top = 0
+        self.bottom = [0] * (1 << 12)  # a bit per rank
+        self.middle = [0] * (1 << 6)  # a bit per filled word of the bottom
+        self.top = 0  # a bit per filled word of the middle
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            low, high = rank >> 6, rank >> 12
-            self.bottom[low] = self.bottom.get(low, 0) | 1 << (rank & LOW)
-            self.middle[high] = self.middle.get(high, 0) | 1 << (low & LOW)
-            self.top |= 1 << high
-        else:
+        if bucket is not None:
             heappush(bucket, position)
-
-    def lowest(self) -> int:
-        """The lowest filled rank, -1 if none."""
-        if not self.top:
-            return -1
-        high = (self.top & -self.top).bit_length() - 1
+            return
+        self.buckets[rank] = [position]
+        low = rank >> 6
+        word = self.bottom[low]
+        self.bottom[low] = word | 1 << (rank & LOW)
+        if not word:
+            high = low >> 6
+            word = self.middle[high]
+            self.middle[high] = word | 1 << (low & LOW)
+            if not word:
+                self.top |= 1 << high
+
+    def take(self) -> tuple[int, int]:
+        """Remove the leftmost position of the lowest filled rank, found by find-first-set on three levels."""
+        top = self.top
+        high = (top & -top).bit_length() - 1
         word = self.middle[high]
         low = high << 6 | (word & -word).bit_length() - 1
         word = self.bottom[low]
-        return low << 6 | (word & -word).bit_length() - 1
-
-    def take(self, rank: int) -> int:
-        """Remove the leftmost position of a filled rank."""
+        rank = low << 6 | (word & -word).bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            low, high = rank >> 6, rank >> 12
-            self.bottom[low] &= ~(1 << (rank & LOW))
-            if not self.bottom[low]:
-                self.middle[high] &= ~(1 << (low & LOW))
-                if not self.middle[high]:
-                    self.top &= ~(1 << high)
-        return position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        del self.buckets[rank]
+        word &= word - 1
+        self.bottom[low] = word
+        if not word:
+            word = self.middle[high]
+            word &= word - 1
+            self.middle[high] = word
+            if not word:
+                self.top = top & (top - 1)
+        return rank, bucket[0]
 
 
 class Vocabulary:
@@ -78,46 +81,57 @@ class Vocabulary:
         pairs = [line.split() for line in lines.splitlines() if line]
         self.rank = {base64.b64decode(token): int(number) for token, number in pairs}
         size = max(self.rank.values()) + 1
+        if size > 1 << 18:
+            raise ValueError("the rank queue holds ranks below 2**18")
         self.token: list[bytes] = [b""] * size
         for token, number in self.rank.items():
             self.token[number] = token
         self.decimal = list(map(str, range(size)))
-        if size > 1 << 18:
-            raise ValueError("the rank queue holds ranks below 2**18")
+        self.byte = [self.rank[bytes([i])] for i in range(256)]
+        # Rank of every pair of tokens that merges: all splits of a token into two others.
+        self.pair = {
+            left << 18 | right: number for token, number in self.rank.items() for i in range(1, len(token))
+            if (left := self.rank.get(token[:i])) is not None and (right := self.rank.get(token[i:])) is not None
+        }
+        self.queue = RankQueue()
 
     def merge(self, piece: bytes) -> list[int]:
         """Token ids of one pre-token."""
-        rank = self.rank
-        whole = rank.get(piece)
+        whole = self.rank.get(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
-        parts: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
+        pair = self.pair.get
+        parts = [self.byte[b] for b in piece]  # -1: merged into the part on its left
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        queue = RankQueue()
+        queue = self.queue
+        push, take = queue.push, queue.take
         for i in range(n - 1):
-            r = rank.get(piece[i : i + 2])
+            r = pair(parts[i] << 18 | parts[i + 1])
             if r is not None:
-                queue.push(r, i)
-        while (r := queue.lowest()) >= 0:
-            i = queue.take(r)
+                push(r, i)
+        while queue.top:
+            r, i = take()
             left = parts[i]
-            if left is None or (j := after[i]) >= n or rank.get(joined := left + parts[j]) != r:
+            if left < 0:
+                continue  # stale
+            j = after[i]
+            if j >= n or pair(left << 18 | parts[j]) != r:
                 continue  # stale
-            parts[i], parts[j] = joined, None
+            parts[i], parts[j] = r, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                s = rank.get(joined + parts[k])
+                s = pair(r << 18 | parts[k])
                 if s is not None:
-                    queue.push(s, i)
+                    push(s, i)
             h = before[i]
             if h >= 0:
-                s = rank.get(parts[h] + joined)
+                s = pair(parts[h] << 18 | r)
                 if s is not None:
-                    queue.push(s, h)
-        return [rank[p] for p in parts if p is not None]
+                    push(s, h)
+        return [p for p in parts if p >= 0]
 
 
 class Encoder:
@@ -125,6 +139,7 @@ class Encoder:
         self.vocabulary = Vocabulary(lines)
         self.pieces = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}  # filled before; what is used again moves back
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -132,11 +147,13 @@ class Encoder:
         for piece in self.pieces(text):
             ids = known.get(piece)
             if ids is None:
-                raw = piece.encode()
-                ids = tuple(merge(raw))
-                if len(raw) <= CACHED_BYTES:
+                ids = self.older.get(piece)
+                if ids is None:
+                    ids = tuple(merge(piece.encode()))
+                if len(piece) <= CACHED_CHARS:
                     if len(known) >= CACHE_ENTRIES:
-                        known.clear()
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[piece] = ids
             out += ids
         return out
