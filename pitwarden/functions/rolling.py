@@ -48,8 +48,9 @@ def forward_fill(x, spec: WindowSpec) -> Column:
     return F.last(col(x), ignorenulls=True).over(spec.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def back_fill(x, spec: WindowSpec) -> Column:
-    return F.first(col(x), ignorenulls=True).over(spec.rowsBetween(0, Window.unboundedFollowing))
+def back_fill(x, backwards: WindowSpec) -> Column:
+    """Next value at or after the row; the window must be ordered backwards, so that its frame only grows."""
+    return F.last(col(x), ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, 0))
 
 
 def expanding_median(x, spec: WindowSpec, lag: int = 0) -> Column:

@@ -39,7 +39,8 @@ def last_by_bucket(trades: DataFrame, width: int) -> DataFrame:
     grid = every.join(px.select("b").distinct(), "b", "left_semi")
     w = Window.partitionBy("commodity").orderBy("b")
     full = grid.join(px, ["commodity", "b"], "left").withColumn("price", forward_fill("price", w))
-    return full.withColumn("price", back_fill("price", w)).select("commodity", (F.col("b") * width).alias("bucket"), "price")
+    backwards = Window.partitionBy("commodity").orderBy(F.desc("b"))
+    return full.withColumn("price", back_fill("price", backwards)).select("commodity", (F.col("b") * width).alias("bucket"), "price")
 
 
 def price_index(trades: DataFrame, width: int = 50) -> DataFrame:

@@ -35,16 +35,7 @@ def headline(metrics: DataFrame) -> DataFrame:
     base = metrics.filter("phase = 'post' AND round = 0 AND recall > 0").select("persona", F.col("recall").alias("base"))
     pre = metrics.filter("phase = 'pre' AND recall IS NOT NULL").select("round", "persona", "recall")
     j = pre.join(base, "persona").join(post, ["round", "persona"], "left").withColumn("drop", (F.col("base") - F.col("recall")) / F.col("base"))
-    top = j.agg(F.max(F.struct("drop", "round", "persona", "recall", "recovered")).alias("x")).select("x.*").filter("round IS NOT NULL")
-    name = F.replace(F.col("persona"), F.lit("_"), F.lit(" "))
-
-    def pct(c: str):
-        return F.concat(rnd(F.col(c) * 100).cast("int").cast("string"), F.lit("%"))
-
-    tail = F.when(F.col("recovered").isNotNull(), F.concat(F.lit(", then recovered to "), pct("recovered"), F.lit(" after retraining"))).otherwise("")
-    fell = F.concat(F.lit("Recall for "), name, F.lit(" fell "), pct("drop"), F.lit(" below baseline under round "), F.col("round").cast("string"), F.lit("'s mutation (to "), pct("recall"), F.lit(")"), tail, F.lit("."))
-    kept = F.concat(F.lit("No mutation pushed recall below the round-0 baseline; the closest was "), name, F.lit(" in round "), F.col("round").cast("string"), F.lit("."))
-    return top.withColumn("headline", F.when(F.col("drop") <= 0, kept).otherwise(fell))
+    return j.agg(F.max(F.struct("drop", "round", "persona", "recall", "recovered")).alias("x")).select("x.*").filter("round IS NOT NULL")
 
 
 def f1_matrix(metrics: DataFrame, rounds: list[int]) -> DataFrame:
@@ -75,13 +66,14 @@ def run_overview(metrics: DataFrame) -> DataFrame:
     return g.withColumn("difficulty", F.row_number().over(order))
 
 
-def track_record(metrics: DataFrame, last: int = 8) -> DataFrame:
-    """The last rounds of every persona, oldest first: frozen coverage, recalls, effect and score."""
+def track_record(metrics: DataFrame, last: int | None = 8) -> DataFrame:
+    """The last rounds of every persona (all of them without ``last``), oldest first: frozen coverage, recalls, effect and score."""
     pre = metrics.filter("phase = 'pre'").select("round", "persona", F.col("coverage").alias("frozen_coverage"), F.col("recall").alias("frozen_recall"), "effect_ratio", "mutation_score")
     post = metrics.filter("phase = 'post'").select("round", "persona", F.col("recall").alias("retrained_recall"))
     j = pre.join(post, ["round", "persona"], "left")
     w = Window.partitionBy("persona").orderBy(F.desc("round"))
-    return j.withColumn("age", F.row_number().over(w)).filter(F.col("age") <= last)
+    aged = j.withColumn("age", F.row_number().over(w))
+    return aged if last is None else aged.filter(F.col("age") <= last)
 
 
 def effect_status(metrics: DataFrame) -> DataFrame:
@@ -138,7 +130,7 @@ def knob_evidence(metrics: DataFrame, params: DataFrame) -> DataFrame:
 def mutation_history(metrics: DataFrame, params: DataFrame) -> DataFrame:
     """Per round and persona: knobs changed beside frozen and retrained recall, effect and score."""
     changed = params_history(params).filter("changed").groupBy("round", "persona").agg(F.array_join(F.array_sort(F.collect_set("knob")), ",").alias("knobs"))
-    return track_record(metrics, 1_000_000).filter("round >= 1").drop("age").join(changed, ["round", "persona"], "left")
+    return track_record(metrics, None).filter("round >= 1").drop("age").join(changed, ["round", "persona"], "left")
 
 
 def run_summary(metrics: DataFrame) -> DataFrame:

@@ -77,11 +77,11 @@ def stylized_facts(spark, sf_dir):
 
 @query("realised_volatility", with_ctes(TRADES) + " UNION ALL ".join(
     f"SELECT commodity, {h} AS horizon, {r('s')} AS realised, {r(f's / (0.02::DOUBLE / sqrt(23400 / {h}.0::DOUBLE))', 4)} AS ratio FROM (SELECT commodity, stddev_pop(r) AS s FROM (SELECT commodity, ln(p) - ln(lag(p) OVER (PARTITION BY commodity ORDER BY b)) AS r "
-    f"FROM (SELECT commodity, tick // {h} AS b, {LAST_PRICE} AS p FROM trades GROUP BY 1, 2)) GROUP BY 1)" for h in (60, 300)), "T8")
+    f"FROM (SELECT commodity, tick // {h} AS b, {LAST_PRICE} AS p FROM trades GROUP BY 1, 2)) GROUP BY 1)" for h in (60, 300, 1800)), "T8")
 def realised_volatility(spark, sf_dir):
     from pitwarden.plans.shaping import half_up
 
-    v = ql.realised_volatility(trades(spark, sf_dir), (60, 300), 0.02)
+    v = ql.realised_volatility(trades(spark, sf_dir), (60, 300, 1800), 0.02)
     return v.select("commodity", "horizon", half_up(F.col("realised")).alias("realised"), half_up(F.col("ratio"), 4).alias("ratio"))
 
 

@@ -77,9 +77,7 @@ def round_contract_rows(spark, sf_dir):
 @query("headline", with_ctes(*H_CTES) + """, j AS (SELECT (b.recall - p.recall) / b.recall AS drop, p.round, p.persona, p.recall, q.recall AS recovered FROM metrics p JOIN metrics b ON b.persona = p.persona AND b.phase = 'post' AND b.round = 0 AND b.recall > 0
   LEFT JOIN metrics q ON q.phase = 'post' AND q.round = p.round AND q.persona = p.persona WHERE p.phase = 'pre' AND p.recall IS NOT NULL),
 t AS (SELECT * FROM j ORDER BY drop DESC, round DESC, persona DESC LIMIT 1)
-SELECT *, CASE WHEN drop <= 0 THEN 'No mutation pushed recall below the round-0 baseline; the closest was ' || replace(persona, '_', ' ') || ' in round ' || round || '.'
-  ELSE 'Recall for ' || replace(persona, '_', ' ') || ' fell ' || CAST(round(drop * 100) AS INTEGER) || '% below baseline under round ' || round || '''s mutation (to ' || CAST(round(recall * 100) AS INTEGER) || '%)'
-    || coalesce(', then recovered to ' || CAST(round(recovered * 100) AS INTEGER) || '% after retraining', '') || '.' END AS headline FROM t""", "N10")
+SELECT * FROM t""", "N10")
 def headline(spark, sf_dir):
     return rd.headline(cut(metrics(spark, sf_dir)))
 

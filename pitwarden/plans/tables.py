@@ -53,9 +53,9 @@ def market_scan(spark, sf_dir):
     return s.groupBy("commodity", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("tick").alias("first_tick"), F.max("tick").alias("last_tick"))
 
 
-@query("episode_orders", with_ctes(ORDERS, EPISODES) + "SELECT order_id, trader_id, event_type, tick FROM order_events WHERE trader_id IN (SELECT trader_id FROM episode_accounts WHERE persona IN ('spoofing', 'layering') AND event_id < 'ep-000000012')", "A7 C18")
+@query("episode_orders", with_ctes(ORDERS, EPISODES) + "SELECT order_id, trader_id, event_type, tick FROM order_events WHERE trader_id IN (SELECT trader_id FROM episode_accounts WHERE persona IN ('spoofing', 'layering'))", "A7 C18")
 def episode_orders(spark, sf_dir):
-    ev = episodes(spark, sf_dir).filter("event_id < 'ep-000000012'")
+    ev = episodes(spark, sf_dir)
     return tb.episode_orders(orders(spark, sf_dir), ev).select("order_id", "trader_id", "event_type", "tick")
 
 

@@ -79,8 +79,8 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines; unparsable lines are skipped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """JSON lines; an unparsable line raises."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def scan(spark: SparkSession, base: str, columns: list[str] | None = None, **partitions: str | list[str]) -> DataFrame:
