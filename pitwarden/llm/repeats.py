@@ -2,7 +2,9 @@
 
 1. Each window of ``length`` bytes is assigned to one of its k-grams, the one with the least hash (the rightmost in a
    tie). Equal windows are assigned to equal k-grams at the same place in them, so all that can be equal meets under
-   one key. Windows of neighbouring starts with the same k-gram form a segment.
+   one key. Windows of neighbouring starts with the same k-gram form a segment, and a few neighbouring segments, cut
+   where their k-grams say so, form a group. Where a whole group occurs again, every window of it repeats; only one
+   occurrence of it goes on, counted as several, so the inside of a frequent passage is handled once, not per document.
 2. Keys that occur once have nothing to remove. Where all segments of a key are equal, or a segment itself occurs again,
    every window of theirs repeats, which counts tell without bringing the segments together.
 3. Only distinct segments of one key remain. They are packed into shards of about ``shard_bytes``, and a suffix array
@@ -24,6 +26,7 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitwarden.llm.common import add_columns, by_batch, stage
@@ -37,9 +40,11 @@ class RepeatRule:
     shard_bytes: int = 1 << 20
     key_segments: int = 1000
     blocks: tuple[int, ...] = (32, 1)  # windows in a block, for keys with more segments
+    group: int = 3  # segments in a group, on average
 
 
 CHUNK = 1 << 20  # windows of one text handled at a time
+GROUP_MOST = 64  # segments in a group; where groups are cut only decides how much is settled early
 PLACE = (1 << 24) - 1
 BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
@@ -85,8 +90,30 @@ def _least_in_windows(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def segments_of(data: np.ndarray, rule: RepeatRule) -> list[tuple[np.ndarray, ...]]:
-    """(key, segment hash, first window, windows, place of the k-gram in the first window) of one text, by chunks."""
+def group_cuts(key: np.ndarray, mean: int) -> np.ndarray:
+    """Whether a new group starts at each segment: by its k-gram, and after ``GROUP_MOST`` segments."""
+    cut = _mix(key) % np.uint64(mean) == 0
+    at = np.arange(len(key))
+    last = np.maximum.accumulate(np.where(cut, at, 0))
+    return cut | ((at - last) % GROUP_MOST == 0)
+
+
+@dataclass(frozen=True)
+class Groups:
+    """Groups of one chunk: hash of all bytes, first window, windows and place of the first segment; then their segments."""
+
+    whole: np.ndarray
+    start: np.ndarray
+    windows: np.ndarray
+    first: np.ndarray
+    key: np.ndarray
+    seg: np.ndarray
+    n: np.ndarray
+    at: np.ndarray
+
+
+def groups_of(data: np.ndarray, rule: RepeatRule) -> list[Groups]:
+    """Segments of one text and their groups, by chunks; a segment has its key, hash, windows and the place of its k-gram."""
     out = []
     for base in range(0, max(0, len(data) - rule.length + 1), CHUNK):
         part = data[base : base + CHUNK + rule.length - 1]
@@ -100,8 +127,12 @@ def segments_of(data: np.ndarray, rule: RepeatRule) -> list[tuple[np.ndarray, ..
         first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
         count = np.diff(np.append(first, len(least)))
         place = PLACE - (least[first] & np.uint64(PLACE)).astype(np.int64)
-        whole = _span_hash(total, down, first, first + count + rule.length - 1)
-        out.append((key[place].view(np.int64), whole.view(np.int64), first + base, count, place - first))
+        seg = _span_hash(total, down, first, first + count + rule.length - 1)
+        begin = np.flatnonzero(group_cuts(key[place], rule.group))
+        start = first[begin]
+        windows = np.diff(np.append(start, len(least)))
+        whole = _span_hash(total, down, start, start + windows + rule.length - 1)
+        out.append(Groups(whole.view(np.int64), start + base, windows, begin, key[place].view(np.int64), seg.view(np.int64), count, place - first))
     return out
 
 
@@ -110,24 +141,47 @@ def text_id(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def find_segments(texts: DataFrame, rule: RepeatRule) -> DataFrame:
-    """Segments of every row of ``texts`` (tid, body); no row is long, and only texts with a window have any."""
+GROUP_ROW = "whole long, lead long, tid binary, start long, windows int, key array<long>, seg array<long>, n array<int>, at array<int>"
+
+
+def find_groups(texts: DataFrame, rule: RepeatRule) -> DataFrame:
+    """Groups of every row of ``texts`` (tid, body); no row is long, and only texts with a window have any."""
 
     def run(batches):
+        longs, ints = (pa.list_(pa.field("element", t)) for t in (pa.int64(), pa.int32()))
         for batch in batches:
             tids, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo in range(0, len(tids), 256):
-                found, owners = [], []
+                found, owners, firsts, segments = [], [], [], 0
                 for tid, body in zip(tids[lo : lo + 256], bodies[lo : lo + 256], strict=True):
-                    for part in segments_of(np.frombuffer(body, np.uint8), rule):
-                        found.append(part)
-                        owners += [tid] * len(part[0])
+                    for g in groups_of(np.frombuffer(body, np.uint8), rule):
+                        found.append(g)
+                        owners += [tid] * len(g.start)
+                        firsts.append(g.first + segments)
+                        segments += len(g.key)
                 if found:
-                    key, seg, first, count, place = (np.concatenate(c) for c in zip(*found, strict=True))
-                    yield {"key": key, "seg": seg, "tid": owners, "start": first, "n": count, "at": place}
+                    def joined(name):
+                        return np.concatenate([getattr(g, name) for g in found])
+
+                    first = np.concatenate(firsts)
+                    offsets = pa.array(np.append(first, segments), pa.int32())
+                    key = joined("key")
+                    yield {
+                        "whole": joined("whole"), "lead": key[first], "tid": owners, "start": joined("start"), "windows": joined("windows"),
+                        "key": pa.ListArray.from_arrays(offsets, pa.array(key), type=longs), "seg": pa.ListArray.from_arrays(offsets, pa.array(joined("seg")), type=longs),
+                        "n": pa.ListArray.from_arrays(offsets, pa.array(joined("n"), pa.int32()), type=ints), "at": pa.ListArray.from_arrays(offsets, pa.array(joined("at"), pa.int32()), type=ints),
+                    }
+
+    return by_batch(texts.filter(F.octet_length("body") >= rule.length), GROUP_ROW, run)
+
 
-    long = texts.filter(F.octet_length("body") >= rule.length)
-    return by_batch(long, "key long, seg long, tid binary, start long, n int, at int", run)
+def single_segments(groups: DataFrame, again: DataFrame) -> DataFrame:
+    """Segments of the groups that occur once, and of one occurrence of every other (``weight`` 2: they repeat anyway)."""
+    met = groups.join(again, ["whole", "lead"], "left").filter(F.col("one").isNull() | (F.col("one") == F.xxhash64("tid", "start")))
+    ahead = F.transform("n", lambda n, i: F.aggregate(F.slice("n", 1, i), F.lit(0), lambda a, x: a + x))
+    each = F.explode(F.arrays_zip("key", "seg", "n", "at", ahead.alias("ahead")))
+    cut = met.select("tid", F.col("start").alias("group_start"), F.when(F.col("one").isNull(), 1).otherwise(2).alias("weight"), each.alias("s"))
+    return cut.select("s.key", "s.seg", "tid", (F.col("group_start") + F.col("s.ahead")).alias("start"), "s.n", "s.at", "weight")
 
 
 def _runs(mask: np.ndarray) -> list[dict[str, int]]:
@@ -239,13 +293,17 @@ def shared_runs(segs: DataFrame, rule: RepeatRule, depth: int = 0) -> DataFrame:
 
 def repeated_starts(texts: DataFrame, rule: RepeatRule = RepeatRule()) -> DataFrame:
     """(tid, starts): runs (start, n) of windows of each text that also start elsewhere. ``texts``: tid, body."""
-    segments = stage(find_segments(texts, rule), "segments")
-    keys = segments.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("seg").alias("least"), F.max("seg").alias("most")).filter("k > 1")
+    groups = stage(find_groups(texts, rule), "groups")
+    met = groups.groupBy("whole", "lead").agg(F.count(F.lit(1)).alias("k"), F.min(F.xxhash64("tid", "start")).alias("one"))
+    again = stage(met.filter("k > 1").drop("k"), "again")
+    settled = groups.select("whole", "lead", "tid", F.struct("start", F.col("windows").alias("n")).alias("x")).join(again.drop("one"), ["whole", "lead"])
+    segments = stage(single_segments(groups, again), "segments")
+    keys = segments.groupBy("key").agg(F.sum("weight").alias("k"), F.min("seg").alias("least"), F.max("seg").alias("most")).filter("k > 1")
     keys = stage(keys.select("key", (F.col("least") == F.col("most")).alias("same")), "shared")
     shared = segments.join(keys, "key")
     # Distinct segments of keys with several: counted before they meet.
     mixed = stage(
-        shared.filter("NOT same").groupBy("key", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("tid", "start", "n", "at")).alias("one"))
+        shared.filter("NOT same").groupBy("key", "seg").agg(F.sum("weight").alias("copies"), F.min(F.struct("tid", "start", "n", "at")).alias("one"))
         .select("key", "seg", "copies", "one.*"), "mixed")
     wanted = mixed.groupBy("tid").agg(F.collect_list(F.struct("key", "seg", "copies", "start", "n", "at")).alias("want"))
     once = texts.groupBy("tid").agg(F.first("body").alias("body"))
@@ -266,10 +324,10 @@ def repeated_starts(texts: DataFrame, rule: RepeatRule = RepeatRule()) -> DataFr
     runs = shared_runs(bodies, rule)
     full = mixed.filter("copies > 1").select("key", "seg", F.lit(None).cast(RUNS).alias("runs"))
     partial = runs.join(full.select("key", "seg"), ["key", "seg"], "left_anti")
-    hits = segments.join(full.unionByName(partial), ["key", "seg"]).select("tid", F.explode(F.coalesce(
+    hits = segments.filter("weight = 1").join(full.unionByName(partial), ["key", "seg"]).select("tid", F.explode(F.coalesce(
         F.transform("runs", lambda r: F.struct((F.col("start") + r.lo).alias("start"), r.n.alias("n"))), F.array(F.struct("start", "n")))).alias("x"))
-    whole = shared.filter("same").select("tid", F.struct("start", "n").alias("x"))
-    return hits.unionByName(whole).groupBy("tid", "x").agg(F.lit(1)).groupBy("tid").agg(F.sort_array(F.collect_list("x")).alias("starts"))
+    whole = shared.filter("same AND weight = 1").select("tid", F.struct("start", "n").alias("x"))
+    return hits.unionByName(whole).unionByName(settled.select("tid", "x")).groupBy("tid", "x").agg(F.lit(1)).groupBy("tid").agg(F.sort_array(F.collect_list("x")).alias("starts"))
 
 
 def covered(starts: list[dict] | None, length: int) -> list[tuple[int, int]]:
