@@ -7,7 +7,7 @@
    occurrence of it goes on, counted as several, so the inside of a frequent passage is handled once, not per document.
 2. Keys that occur once have nothing to remove. Where all segments of a key are equal, or a segment itself occurs again,
    every window of theirs repeats, which counts tell without bringing the segments together.
-3. Only distinct segments of one key remain. They are packed into shards of about ``shard_bytes``, and a suffix array
+3. Only distinct segments of one key remain, less the windows whose core no other segment of the key has. They are packed into shards of about ``shard_bytes``, and a suffix array
    with permuted common prefixes (``induced_sort``) finds the windows that several of them share. The few keys with more
    than ``key_segments`` distinct segments are cut into blocks of windows that must share a core, ever finer; blocks of
    one window are settled by counting. So no key, however frequent, is gathered in one task.
@@ -41,6 +41,7 @@ class RepeatRule:
     key_segments: int = 1000
     blocks: tuple[int, ...] = (32, 1)  # windows in a block, for keys with more segments
     group: int = 3  # segments in a group, on average
+    pieces: int = 8  # ranges of windows of a segment that are ruled out before sorting
 
 
 CHUNK = 1 << 20  # windows of one text handled at a time
@@ -214,19 +215,47 @@ def shared_windows(bodies: list[bytes], length: int) -> list[np.ndarray]:
     return [hit[a : a + len(b) - length + 1] for a, b in zip(starts, bodies, strict=True)]
 
 
+def possible_windows(rows: list[tuple[int, int, int, bytes]], rule: RepeatRule) -> list[tuple[int, int] | None]:
+    """For each distinct segment (key, seg, at, body): first and last window that another of its key may share, or None.
+
+    Windows are sorted by the bytes ahead of their k-gram into ``rule.pieces`` ranges. All windows of a range contain the
+    same core, so where no other segment of the key has that core, none of them is shared.
+    """
+    reach = rule.length - rule.gram
+    step = -(-(reach + 1) // rule.pieces)
+    ranges = [(a, min(a + step - 1, reach)) for a in range(0, reach + 1, step)]
+    met: dict[tuple[int, int, int], int] = {}
+    cores = []
+    for key, _, at, body in rows:
+        mine = []
+        for a, b in ranges:
+            least, most = max(a, at - len(body) + rule.length), min(b, at)
+            if least <= most:
+                core = (key, a, hash(body[at - a : at + rule.length - b]))
+                met[core] = met.get(core, 0) + 1
+                mine.append((core, at - most, at - least))
+        cores.append(mine)
+    found = []
+    for mine in cores:
+        shared = [(first, last) for core, first, last in mine if met[core] > 1]
+        found.append((min(x for x, _ in shared), max(x for _, x in shared)) if shared else None)
+    return found
+
+
 def sort_shards(segs: DataFrame, shards: int, rule: RepeatRule) -> DataFrame:
-    """(key, seg, runs): windows that the distinct segments of a key share. ``segs``: key, seg, body."""
+    """(key, seg, runs): windows that the distinct segments of a key share. ``segs``: key, seg, at, body."""
     dealt = segs.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard", "key", "seg")
 
     def solve(rows):
-        hits = shared_windows([r[2] for r in rows], rule.length)
-        got = [(k, s, _runs(h)) for (k, s, _), h in zip(rows, hits, strict=True) if h.any()]
+        near = [(k, s, x, body) for (k, s, _, body), x in zip(rows, possible_windows(rows, rule), strict=True) if x]
+        hits = shared_windows([body[a : b + rule.length] for _, _, (a, b), body in near], rule.length) if near else []
+        got = [(k, s, [{"lo": r["lo"] + a, "n": r["n"]} for r in _runs(h)]) for (k, s, (a, _), _), h in zip(near, hits, strict=True) if h.any()]
         return {"key": [g[0] for g in got], "seg": [g[1] for g in got], "runs": [g[2] for g in got]}
 
     def run(batches):
         shard, held = None, []
         for batch in batches:
-            for s, *row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("shard", "key", "seg", "body")), strict=True):
+            for s, *row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("shard", "key", "seg", "at", "body")), strict=True):
                 if s != shard and held:
                     yield solve(held)
                     held = []
@@ -276,9 +305,9 @@ def shared_runs(segs: DataFrame, rule: RepeatRule, depth: int = 0) -> DataFrame:
     total = sizes.filter(F.col("segs") <= rule.key_segments).agg(F.sum("bytes")).head()[0] or 0
     hot = sizes.filter(F.col("segs") > rule.key_segments).select("key")
     if hot.isEmpty():
-        return sort_shards(segs.select("key", "seg", "body"), 1 + total // rule.shard_bytes, rule)
+        return sort_shards(segs.select("key", "seg", "at", "body"), 1 + total // rule.shard_bytes, rule)
     usual = segs.join(hot, "key", "left_anti")
-    found = sort_shards(usual.select("key", "seg", "body"), 1 + total // rule.shard_bytes, rule)
+    found = sort_shards(usual.select("key", "seg", "at", "body"), 1 + total // rule.shard_bytes, rule)
     blocks = stage(cut_blocks(segs.join(hot, "key"), rule.blocks[depth], rule), "blocks")
     distinct = blocks.groupBy("key", "seg").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("parents"), F.first("body").alias("body"), F.first("at").alias("at"), F.first("n").alias("n"))
     distinct = stage(distinct, "blocks")
