@@ -108,7 +108,6 @@ class DetectorConfig:
     top_features: int = 5
     n_trees: int = 200
     max_samples: int = 256
-    calibration_rows: int = 300_000
     min_positives: int = 5
     require_all_personas: bool = False
     cv_folds: int = 3
@@ -118,7 +117,6 @@ class DetectorConfig:
     max_keep: int = 2
     cv_negative_fraction: float = 0.25
     negative_fraction: float = 0.5
-    subsample_min_rows: int = 50_000
     hard_prefixes: tuple[str, ...] = (
         "lp_", "hedger_", "fund_", "rebalance_", "hft_", "algo_", "occ_",
         "spoofer_", "layerer_", "wash_", "pnd_",
@@ -126,10 +124,7 @@ class DetectorConfig:
     hard_weight: float = 3.0
     max_class_weight: float = 50.0
     boosting_rounds: int = 300
-    boosting_rounds_small: int = 150
     max_depth: int = 4
-    max_depth_small: int = 3
-    small_rows: int = 5000
     step_size: float = 0.05
     subsample: float = 0.8
     feature_subset: str = "0.8"

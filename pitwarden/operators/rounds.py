@@ -38,10 +38,9 @@ def headline(metrics: DataFrame) -> DataFrame:
     return j.agg(F.max(F.struct("drop", "round", "persona", "recall", "recovered")).alias("x")).select("x.*").filter("round IS NOT NULL")
 
 
-def f1_matrix(metrics: DataFrame, rounds: list[int]) -> DataFrame:
-    """Persona rows, one F1 column per round."""
-    m = metrics.filter("phase = 'post'").groupBy("persona").pivot("round", rounds).agg(F.first("f1"))
-    return m.select("persona", *[F.col(str(r)).alias(f"round_{r}") for r in rounds])
+def f1_matrix(metrics: DataFrame) -> DataFrame:
+    """F1 of every persona in every retrained round, in long form: no list of rounds is fixed."""
+    return metrics.filter("phase = 'post'").groupBy("persona", "round").agg(F.max("f1").alias("f1"))
 
 
 def baseline_vs_latest(metrics: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def trade_features(spark, sf_dir):
 @query("forest_scores", None, "L2 L3 L4")
 def forest_scores(spark, sf_dir):
     f = trade_features(spark, sf_dir)
-    forest = fo.fit_forest(f, BEHAVIOUR, KEYS, n_trees=100)
+    forest = fo.fit_forest(f, BEHAVIOUR, KEYS)
     return fo.forest_scores(f, forest).withColumn("iso_flag", F.col("iso_score") >= 1 - forest.contamination)
 
 
@@ -161,13 +161,13 @@ def market_forest_scores(spark, sf_dir):
     m = cut(market_windows(spark, sf_dir))
     cols = list(MARKET_CONTEXT)
     distinct = cut(m.select(*cols).distinct().withColumn("row", F.xxhash64(*cols)))
-    return fo.market_scores(m, cols, fo.fit_forest(distinct, cols, ["row"], n_trees=100, contamination=0.05)).select("commodity", "window_start", "mkt_anomaly_score")
+    return fo.market_scores(m, cols, fo.fit_forest(distinct, cols, ["row"], contamination=0.05)).select("commodity", "window_start", "mkt_anomaly_score")
 
 
 @query("detector_alerts", None, "L4 L6 L8 M3")
 def detector_alerts(spark, sf_dir):
     f = trade_features(spark, sf_dir)
     labels = span_labels(spark, sf_dir)
-    cfg = DetectorConfig(personas=("spoofing", "wash_trading"), families={}, n_trees=50, boosting_rounds=5, boosting_rounds_small=5, cv_folds=2, contamination=0.05)
+    cfg = DetectorConfig(personas=("spoofing", "wash_trading"), families={}, n_trees=50, boosting_rounds=5, cv_folds=2, contamination=0.05)
     d = dm.train(f, labels.select(*KEYS, *cfg.personas), BEHAVIOUR, cfg=cfg)
     return dm.score(f, d).select(*KEYS, "iso_score", *[f"prob_{p}" for p in cfg.personas], "final_flag", "alert_tier", "predicted_persona")
