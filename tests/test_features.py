@@ -122,3 +122,45 @@ def test_activity_baseline_survives_a_burst(spark):
     values = [tuple(map(float, v)) for v in quiet * 20 + [(300.0, 1, 1, 0, 0, 0, 0.0, 0, 0)] * 30 + quiet * 20]
     rows = history.history_scores(frame(spark, values), FeatureConfig()).orderBy("win").collect()
     assert abs(rows[-1]["activity_vs_history"]) < 0.5 and rows[25]["activity_vs_history"] > 2
+
+
+def test_history_against_the_definition(spark):
+    """Every pass recomputed for every window from the whole past, with gaps and a second account."""
+    from pitwarden.config import ACTIVITY_TRIM_LOG, SELF_Z_COLUMNS, SELF_Z_EVIDENCE, SELF_Z_MIN_HISTORY, SELF_Z_SCALE_FLOOR, SELF_Z_TRIM, TRIM_PASSES
+
+    rng = np.random.default_rng(5)
+    need = list(dict.fromkeys(["exec_vol", *SELF_Z_COLUMNS]))
+    rows = []
+    for trader in ("a", "b"):
+        wins = np.sort(rng.choice(np.arange(3, 160), 90, replace=False))
+        for w in wins:
+            scale = 40.0 if rng.random() < 0.1 else 1.0
+            rows.append(("m", trader, int(w), *[float(np.round(scale * rng.gamma(2.0), 2)) for _ in need]))
+    df = spark.createDataFrame(rows, ["commodity", "trader_id", "win", *need])
+    cfg = FeatureConfig()
+    lag, first = cfg.n_steps, min(r[2] for r in rows)
+    got = {(r["trader_id"], r["win"]): r for r in history.history_scores(df, cfg).collect()}
+    assert len(got) == len(rows)
+    for trader in ("a", "b"):
+        mine = {r[2]: dict(zip(need, r[3:])) for r in rows if r[1] == trader}
+        grid = range(first, max(mine) + 1)
+        act = {w: mine[w]["exec_vol"] + mine[w]["n_orders"] if w in mine else 0.0 for w in grid}
+        keep, base = set(grid), {}
+        for _ in range(TRIM_PASSES):
+            base = {w: np.median(past) if (past := [act[v] for v in keep if v <= w - lag]) else None for w in grid}
+            keep = {w for w in grid if base[w] is None or abs(np.log1p(act[w]) - np.log1p(base[w])) <= ACTIVITY_TRIM_LOG}
+        keep_z = set(mine)
+        for _ in range(TRIM_PASSES + 1):
+            z = {}
+            for w in mine:
+                past = [mine[v] for v in keep_z if v <= w - lag]
+                for c in SELF_Z_COLUMNS:
+                    q = np.quantile([p[c] for p in past], [0.25, 0.5, 0.75]) if len(past) >= SELF_Z_MIN_HISTORY else None
+                    z[w, c] = 0.0 if q is None else float(np.clip((mine[w][c] - q[1]) / max((q[2] - q[0]) / 1.349, SELF_Z_SCALE_FLOOR[c]), -20, 20))
+            keep_z = {w for w in mine if all(abs(z[w, c]) < SELF_Z_TRIM for c in SELF_Z_COLUMNS)}
+        for w, m in mine.items():
+            r = got[trader, w]
+            assert abs(r["activity_vs_history"] - (np.log1p(act[w]) - np.log1p(base[w] or 0.0))) < 1e-9
+            weight = m["n_orders"] / (m["n_orders"] + SELF_Z_EVIDENCE)
+            for c in SELF_Z_COLUMNS:
+                assert abs(r[f"self_z_{c}"] - z[w, c] * (1.0 if c == "n_orders" else weight)) < 1e-9
