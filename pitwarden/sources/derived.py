@@ -192,17 +192,23 @@ LOGS = {
 _staged: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
-def staged(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived log as a stored table, written once per application.
+def staged_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Folder of a derived log, written once per application.
 
     The library reads logs as stored tables; deriving one costs a three-way join that is not
     part of the query.  The copy is written again if its folder was cleared.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    path, schema = _staged.get(key, (None, None))
+    path, _ = _staged.get(key, (None, None))
     if path is None or not table_exists(spark, path):
         frame = LOGS[name](spark, sf_dir)
-        path, schema = f"{ensure_checkpoint_dir(spark)}/logs/{name}-{uuid.uuid4().hex}", frame.schema
+        path = f"{ensure_checkpoint_dir(spark)}/logs/{name}-{uuid.uuid4().hex}"
         frame.write.parquet(path)
-        _staged[key] = (path, schema)
-    return spark.read.schema(schema).parquet(path)
+        _staged[key] = (path, frame.schema)
+    return path
+
+
+def staged(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived log as a stored table."""
+    path = staged_path(spark, sf_dir, name)
+    return spark.read.schema(_staged[spark.sparkContext.applicationId, sf_dir, name][1]).parquet(path)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pitwarden.operators.lineage import ensure_checkpoint_dir
 
+END_OF_FEED = "3000-01-01 00:00:00"
+
 
 def sliding_market(events: DataFrame, delay: str = "10 minutes", window: str = "3 minutes", step: str = "30 seconds") -> DataFrame:
     """Prints, volume and price range per (market, sliding window), late rows dropped after ``delay``."""
@@ -26,11 +29,14 @@ def minute_bars(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def order_lifetimes(placed: DataFrame, cancelled: DataFrame, max_age: str, delay: str) -> DataFrame:
-    """Placed and cancelled events of one order matched within ``max_age``: its resting time in seconds."""
+    """Every placed order with its resting time in seconds, null when no cancel comes within ``max_age``.
+
+    Rows leave the state once the watermark is past ``max_age``; an order cancelled later counts as unmatched.
+    """
     p = placed.select("order_id", "commodity", "trader_id", F.col("ts").alias("placed_ts")).withWatermark("placed_ts", delay)
     c = cancelled.select(F.col("order_id").alias("cancel_id"), F.col("ts").alias("cancel_ts")).withWatermark("cancel_ts", delay)
     cond = F.expr(f"order_id = cancel_id AND cancel_ts >= placed_ts AND cancel_ts <= placed_ts + INTERVAL {max_age}")
-    return p.join(c, cond).select("order_id", "commodity", "trader_id", "placed_ts", "cancel_ts", (F.unix_timestamp("cancel_ts") - F.unix_timestamp("placed_ts")).alias("lifetime_s"))
+    return p.join(c, cond, "left").select("order_id", "commodity", "trader_id", "placed_ts", "cancel_ts", (F.unix_timestamp("cancel_ts") - F.unix_timestamp("placed_ts")).alias("lifetime_s"))
 
 
 def alert_sessions(alerts: DataFrame, gap: str = "2 minutes", delay: str = "10 minutes") -> DataFrame:
@@ -40,10 +46,31 @@ def alert_sessions(alerts: DataFrame, gap: str = "2 minutes", delay: str = "10 m
     )
 
 
-def run_available(stream: DataFrame) -> DataFrame:
-    """Process everything available into a Parquet table under the checkpoint folder and read it back."""
-    spark: SparkSession = stream.sparkSession
+def run_to_end(build: Callable[..., DataFrame], *feeds: DataFrame, ts: str = "ts") -> DataFrame:
+    """Process finite feeds and close them: whatever is still open at their end is emitted too.
+
+    Append mode holds a window until the watermark passes it, so the last windows of a feed that ends would never come
+    out. Each feed is therefore read together with a folder of heartbeats. The first run takes all stored events; then one
+    heartbeat per feed, a row at ``END_OF_FEED``, lets the second run of the same query move the watermark past them. Its
+    text columns name the feed (a null join key would be filtered out before the watermark), the rest is null; its own
+    window stays open. The result is a Parquet table under the checkpoint folder.
+    """
+    spark: SparkSession = feeds[0].sparkSession
     base = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
-    q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    beats = [(f"{base}/heartbeats/{i}", f.schema) for i, f in enumerate(feeds)]
+
+    def beat(closing: bool) -> None:
+        for i, (path, schema) in enumerate(beats):
+            text = {c.name: f"end of feed {i}" for c in schema if isinstance(c.dataType, T.StringType)}
+            row = [F.lit(END_OF_FEED if c.name == ts else text.get(c.name)).cast(c.dataType).alias(c.name) for c in schema]
+            spark.range(1 if closing else 0).select(*row).write.mode("append").parquet(path)
+
+    beat(closing=False)
+    closed = [f.unionByName(spark.readStream.schema(schema).parquet(path)) for f, (path, schema) in zip(feeds, beats)]
+    out = build(*closed)
+    for closing in (False, True):
+        if closing:
+            beat(closing)
+        q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
