@@ -102,11 +102,8 @@ def case_counters(matched: DataFrame, missed: DataFrame, flags: DataFrame, cfg:
     )
     b = missed.agg(F.count(F.lit(1)).alias("missed"), n(F.col("brief_only"), "missed_brief"))
     c = flags.agg(n(F.col("alert_tier") == "review", "review_windows"), F.count(F.lit(1)).alias("windows"), n(F.col("final_flag"), "alert_windows"))
-    one = F.lit(1)
-    return (
-        a.withColumn("_k", one).join(b.withColumn("_k", one), "_k").join(c.withColumn("_k", one), "_k").drop("_k")
-        .withColumn("min_case_windows", F.lit(cfg.min_case_windows))
-    )
+    rows = a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))
+    return rows.withColumn("min_case_windows", F.lit(cfg.min_case_windows))
 
 
 def account_rollup(matched: DataFrame) -> DataFrame:
@@ -194,8 +191,8 @@ def attribution_mix(flags: DataFrame, top: str = "top_shap_features") -> DataFra
     weights = flags.filter("final_flag").select(F.explode(top).alias("feature", "value")).groupBy("feature").agg(
         F.sum(F.abs("value")).alias("weight")
     )
-    total = weights.agg(F.sum("weight").alias("total")).withColumn("_k", F.lit(1))
-    return weights.withColumn("_k", F.lit(1)).join(total, "_k").select("feature", (F.col("weight") / F.col("total")).alias("share"))
+    total = weights.agg(F.sum("weight").alias("total"))
+    return weights.crossJoin(F.broadcast(total)).select("feature", (F.col("weight") / F.col("total")).alias("share"))
 
 
 def case_rows(cases: DataFrame, orders: DataFrame, limit: int = 500) -> DataFrame:

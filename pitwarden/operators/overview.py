@@ -33,9 +33,8 @@ def market_kpi(trades: DataFrame, events: DataFrame) -> DataFrame:
 def last_by_bucket(trades: DataFrame, width: int) -> DataFrame:
     """Last price per bucket of any market, carried forward then back within each market."""
     px = trades.groupBy("commodity", bucket(width).alias("b")).agg(F.max_by("price", log_order()).alias("price"))
-    one = F.lit(1).alias("_k")
-    ends = px.agg(F.min("b").alias("a"), F.max("b").alias("z")).select("a", "z", one)
-    every = px.select("commodity", one).distinct().join(ends, "_k").select("commodity", F.explode(F.sequence("a", "z")).alias("b"))
+    ends = px.agg(F.min("b").alias("a"), F.max("b").alias("z"))
+    every = px.select("commodity").distinct().crossJoin(F.broadcast(ends)).select("commodity", F.explode(F.sequence("a", "z")).alias("b"))
     grid = every.join(px.select("b").distinct(), "b", "left_semi")
     w = Window.partitionBy("commodity").orderBy("b")
     full = grid.join(px, ["commodity", "b"], "left").withColumn("price", forward_fill("price", w))

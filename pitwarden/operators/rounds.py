@@ -46,8 +46,8 @@ def f1_matrix(metrics: DataFrame) -> DataFrame:
 def baseline_vs_latest(metrics: DataFrame) -> DataFrame:
     """Average of each score in the first and in the latest retrained round."""
     p = metrics.filter("phase = 'post'")
-    last = p.agg(F.min("round").alias("a"), F.max("round").alias("z")).withColumn("_k", F.lit(1))
-    j = p.withColumn("_k", F.lit(1)).join(last, "_k")
+    last = p.agg(F.min("round").alias("a"), F.max("round").alias("z"))
+    j = p.crossJoin(F.broadcast(last))
     cols = []
     for c in ("precision", "recall", "f1", "fpr"):
         cols += [F.avg(F.when(F.col("round") == F.col("a"), F.col(c))).alias(f"{c}_baseline"), F.avg(F.when(F.col("round") == F.col("z"), F.col(c))).alias(f"{c}_latest")]
@@ -146,6 +146,6 @@ def top_flags(flags: DataFrame, n: int = 10, persona: str | None = None, trader:
         f = f.filter(F.col("predicted_persona") == persona)
     if trader:
         f = f.filter(F.col("trader_id") == trader)
-    total = f.agg(F.count(F.lit(1)).alias("total_matches")).withColumn("_k", F.lit(1))
+    total = f.agg(F.count(F.lit(1)).alias("total_matches"))
     order = [F.desc("final_score"), "commodity", "window_start", "trader_id"]
-    return f.orderBy(*order).limit(n).withColumn("_k", F.lit(1)).join(total, "_k").drop("_k")
+    return f.orderBy(*order).limit(n).crossJoin(F.broadcast(total))

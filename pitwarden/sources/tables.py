@@ -108,8 +108,8 @@ def wide_to_long(wide: DataFrame, key: str, tickers: list[str], fields: tuple[st
 
 def keep_recent(df: DataFrame, key: str, span: int) -> DataFrame:
     """Rows within ``span`` of the latest key."""
-    last = df.agg(F.max(key).alias("_last")).withColumn("_k", F.lit(1))
-    return df.withColumn("_k", F.lit(1)).join(last, "_k").filter(F.col(key) > F.col("_last") - span).drop("_k", "_last")
+    last = df.agg(F.max(key).alias("_last"))
+    return df.crossJoin(F.broadcast(last)).filter(F.col(key) > F.col("_last") - span).drop("_last")
 
 
 def latest_dataset(manifest: DataFrame) -> DataFrame:
