@@ -1,10 +1,12 @@
 """The stages one after the other, each checked on its own input."""
 
 import hashlib
+import random
 
 import corpus_pipeline
 from pitwarden.llm import factor_machine
 from pitwarden.llm.common import stage
+from test_operators import brute_components, prose
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -31,3 +33,20 @@ def test_stages(spark):
     rows = after.collect()
     assert len(rows) == before.count()
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in rows)
+
+
+def test_near_duplicates_link_from_eighty_percent(spark):
+    rng = random.Random(12)
+    rows = []
+    for family in range(12):
+        base = prose(rng, 150).split(" ")
+        for edits in (0, 2, 3, 4):  # likeness to the first: 1, 0.87, 0.81, 0.76
+            own = base[:]
+            for k in range(edits):
+                own[10 + 30 * k + edits] = f"w{family}x{edits}"
+            rows.append((len(rows), " ".join(own)))
+    sets, label = brute_components(rows, 80)
+    assert label[2] == 0 and label[3] == 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label.values()))
