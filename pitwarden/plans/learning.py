@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from pitwarden.config import PERSONAS, DetectorConfig, FeatureConfig
+from pitwarden.config import PERSONAS
 from pitwarden.models import detector as dm, forest as fo, scaling as sc, thresholds as th
-from pitwarden.operators import steps as st
+from pitwarden.operators import labels as lb
+from pitwarden.operators.features import FEATURE_COLUMNS
 from pitwarden.operators.lineage import cut
-from pitwarden.plans.labelling import LABEL_CTES, scored, span_labels
+from pitwarden.plans.labelling import LABEL_CTES, episodes, scored, span_labels
 from pitwarden.plans.mechanism import SCORES, minute_scores
 from pitwarden.plans import bar_sql as bs
 from pitwarden.plans.registry import query
@@ -135,21 +136,18 @@ def skill_verdict(spark, sf_dir):
     return m.select(th.rnd(x, 3).alias("mean_auc"), level.alias("level"))
 
 
-BEHAVIOUR = ["n_exec", "exec_buy", "exec_sell", "aggr_vol", "dev_sum", "exec_q2"]
+def stored_features(spark, sf_dir):
+    """Account features, written once: training and scoring read them many times."""
+    from pitwarden.plans.account import account_features
 
-
-def trade_features(spark, sf_dir):
-    from pitwarden.plans.steps import CFG, base_tables
-
-    trades, _, _, path, _ = base_tables(spark, sf_dir)
-    f = cut(st.trade_steps(st.leg_ticks(trades, path, CFG), CFG))
-    return f.withColumn("window_start", F.col("step") * 30).drop("step")
+    return cut(account_features(spark, sf_dir))
 
 
 @query("forest_scores", None, "L2 L3 L4")
 def forest_scores(spark, sf_dir):
-    f = trade_features(spark, sf_dir)
-    forest = fo.fit_forest(f, BEHAVIOUR, KEYS)
+    cols = [c for c in FEATURE_COLUMNS if not c.startswith("mkt_")]
+    f = stored_features(spark, sf_dir).select(*KEYS, *cols)
+    forest = fo.fit_forest(f, cols, KEYS)
     return fo.forest_scores(f, forest).withColumn("iso_flag", F.col("iso_score") >= 1 - forest.contamination)
 
 
@@ -166,8 +164,7 @@ def market_forest_scores(spark, sf_dir):
 
 @query("detector_alerts", None, "L4 L6 L8 M3")
 def detector_alerts(spark, sf_dir):
-    f = trade_features(spark, sf_dir)
-    labels = span_labels(spark, sf_dir)
-    cfg = DetectorConfig(personas=("spoofing", "wash_trading"), families={}, n_trees=50, boosting_rounds=5, cv_folds=2, contamination=0.05)
-    d = dm.train(f, labels.select(*KEYS, *cfg.personas), BEHAVIOUR, cfg=cfg)
-    return dm.score(f, d).select(*KEYS, "iso_score", *[f"prob_{p}" for p in cfg.personas], "final_flag", "alert_tier", "predicted_persona")
+    f = stored_features(spark, sf_dir)
+    labels = cut(lb.span_labels(f, episodes(spark, sf_dir)))
+    d = dm.train(f, labels.select(*KEYS, *PERSONAS), list(FEATURE_COLUMNS))
+    return dm.score(f, d).select(*KEYS, "iso_score", *[f"prob_{p}" for p in PERSONAS], "final_flag", "alert_tier", "predicted_persona")

@@ -69,3 +69,28 @@ def test_mutation_score(spark):
 def test_empty_ground_truth(spark, make):
     w = spark.createDataFrame([("gold", 0, "a", 179)], W)
     assert lb.span_labels(w, make.events([]).limit(0)).first()["spoofing"] == 0
+
+
+def test_detector_query_trains_the_default_configuration_on_account_features(spark, monkeypatch):
+    from pitwarden.config import PERSONAS, DetectorConfig
+    from pitwarden.operators.features import FEATURE_COLUMNS
+    from pitwarden.plans import learning
+
+    class Seen(Exception):
+        pass
+
+    def train(features, labels, cols, cfg=None):
+        assert cfg is None or cfg == DetectorConfig()
+        assert sorted(cols) == sorted(FEATURE_COLUMNS) and set(PERSONAS) <= set(labels.columns)
+        assert features.join(labels, learning.KEYS).count() == features.count() > 0
+        raise Seen
+
+    def fit_forest(df, cols, keys):
+        assert sorted(cols) == sorted(c for c in FEATURE_COLUMNS if not c.startswith("mkt_"))
+        raise Seen
+
+    monkeypatch.setattr(learning.dm, "train", train)
+    monkeypatch.setattr(learning.fo, "fit_forest", fit_forest)
+    for query in (learning.detector_alerts, learning.forest_scores):
+        with pytest.raises(Seen):
+            query(spark, "/root/testdata/sf0.001")
