@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from pitwarden.llm.common import add_columns
+from pitwarden.llm.common import add_columns, by_batch
 
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#[*$%&|<>]"
@@ -47,7 +47,6 @@ class LabelRule:
     """Settings of training and verdict."""
 
     max_documents: int = 600  # labelled documents in the training sample
-    max_lines: int = 60  # lines of one training document
     rounds: int = 3
     epochs: int = 50
     content_share: float = 0.5  # least share of words in content lines
@@ -143,45 +142,57 @@ def _log_sum(a: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(a - top[..., None, :]).sum(axis=-2))
 
 
-def fit_field(texts: list[tuple[np.ndarray, np.ndarray]], rule: LabelRule, chained: bool = True) -> LineField:
-    """Maximum likelihood by forward-backward sums, over texts given as (features, states).
-
-    Without ``chained`` the step and first-state scores stay zero: every line is for itself.
-    """
-    long = max(len(y) for _, y in texts)
-    n = len(texts)
-    x = np.zeros((n, long, N_FEATURES))
-    y = np.zeros((n, long), np.int64)
-    live = np.zeros((n, long), bool)
+def _padded(texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, states and which lines are there, of texts of like length."""
+    shape = (len(texts), max(len(y) for _, y in texts))
+    x, y, live = np.zeros((*shape, N_FEATURES)), np.zeros(shape, np.int64), np.zeros(shape, bool)
     for i, (f, s) in enumerate(texts):
         x[i, : len(s)], y[i, : len(s)], live[i, : len(s)] = f, s, True
+    return x, y, live
+
+
+def _gradient(x, y, live, emit, step, first) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums over the texts of what was seen less what the field expects."""
+    n, long = y.shape
     rows = np.arange(n)
     last = live.sum(1) - 1
-    emit, step, first = np.zeros((2, N_FEATURES)), np.zeros((2, 2)), np.zeros(2)
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (emit, step, first)]
-    pair_seen = np.zeros((2, 2))
     both = live[:, 1:]
+    pair_seen = np.zeros((2, 2))
     np.add.at(pair_seen, (y[:, :-1][both], y[:, 1:][both]), 1.0)
     hot = np.eye(2)[y] * live[..., None]
+    e = x @ emit.T
+    fwd = np.zeros((n, long, 2))
+    fwd[:, 0] = e[:, 0] + first
+    for t in range(1, long):
+        fwd[:, t] = _log_sum(fwd[:, t - 1, :, None] + step) + e[:, t]
+    bwd = np.zeros((n, long, 2))
+    for t in range(long - 2, -1, -1):
+        nxt = _log_sum(np.swapaxes(step[None] + (e[:, t + 1] + bwd[:, t + 1])[:, None, :], 1, 2))
+        bwd[:, t] = np.where(live[:, t + 1, None], nxt, 0.0)
+    total = np.logaddexp(*fwd[rows, last].T)
+    # Places after a text's end have no meaning and are left out before the exponential, where they could overflow.
+    gamma = np.exp(np.where(live[..., None], fwd + bwd - total[:, None, None], -np.inf))
+    pairs = fwd[:, :-1, :, None] + step + (e + bwd)[:, 1:, None, :] - total[:, None, None, None]
+    xi = np.exp(np.where(both[..., None, None], pairs, -np.inf))
+    return np.einsum("nts,ntf->sf", hot - gamma, x), pair_seen - xi.sum((0, 1)), (hot[:, 0] - gamma[:, 0]).sum(0)
+
+
+def fit_field(texts: list[tuple[np.ndarray, np.ndarray]], rule: LabelRule, chained: bool = True) -> LineField:
+    """Maximum likelihood by forward-backward sums, over texts given as (features, states).
+
+    Texts are padded to the next power of two of their lines, so a long one does not widen the others.
+    Without ``chained`` the step and first-state scores stay zero: every line is for itself.
+    """
+    emit, step, first = np.zeros((2, N_FEATURES)), np.zeros((2, 2)), np.zeros(2)
+    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (emit, step, first)]
+    buckets: dict[int, list] = {}
+    for f, s in texts:
+        buckets.setdefault((len(s) - 1).bit_length(), []).append((f, s))
+    padded = [_padded(b) for b in buckets.values()]
+    size, n = sum(len(s) for _, s in texts), len(texts)
     for epoch in range(1, rule.epochs + 1):
-        e = x @ emit.T
-        fwd = np.zeros((n, long, 2))
-        fwd[:, 0] = e[:, 0] + first
-        for t in range(1, long):
-            fwd[:, t] = _log_sum(fwd[:, t - 1, :, None] + step) + e[:, t]
-        bwd = np.zeros((n, long, 2))
-        for t in range(long - 2, -1, -1):
-            nxt = _log_sum(np.swapaxes(step[None] + (e[:, t + 1] + bwd[:, t + 1])[:, None, :], 1, 2))
-            bwd[:, t] = np.where(live[:, t + 1, None], nxt, 0.0)
-        total = np.logaddexp(*fwd[rows, last].T)
-        gamma = np.exp(fwd + bwd - total[:, None, None]) * live[..., None]
-        xi = np.exp(fwd[:, :-1, :, None] + step + (e + bwd)[:, 1:, None, :] - total[:, None, None, None]) * both[..., None, None]
-        size = live.sum()
-        grads = (
-            np.einsum("nts,ntf->sf", hot - gamma, x) / size - 0.002 * emit,
-            (pair_seen - xi.sum((0, 1))) / size - 0.002 * step,
-            (hot[:, 0] - gamma[:, 0]).sum(0) / n - 0.01 * first,
-        )
+        sums = [np.sum(g, axis=0) for g in zip(*(_gradient(*p, emit, step, first) for p in padded), strict=True)]
+        grads = (sums[0] / size - 0.002 * emit, sums[1] / size - 0.002 * step, sums[2] / n - 0.01 * first)
         for p, g, (m, v) in list(zip((emit, step, first), grads, moments, strict=True))[: 3 if chained else 1]:
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -199,14 +210,24 @@ def train(docs: DataFrame, labels: DataFrame, rule: LabelRule = LabelRule()) ->
     drawn = [known.filter(F.col("quality") == q).orderBy(F.xxhash64(F.lit(rule.seed), "doc_id"), "doc_id").limit(half) for q in (0, 1)]
     # Bounded by max_documents, so it may be broadcast; the texts are read where they are.
     sample = drawn[0].unionByName(drawn[1])
-    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").collect()
+    found = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("string").alias("id"), "quality", "text")
+
+    def run(batches):
+        # Only numbers of whole texts reach the driver.
+        for batch in batches:
+            ids, qualities, texts = (batch.column(i).to_pylist() for i in range(3))
+            lines = []
+            for t in texts:
+                x, counts, _ = features_of(t.encode())
+                lines.append(x[np.array(counts) > 0].ravel())
+            yield {"id": ids, "quality": qualities, "lines": lines}
+
+    table = by_batch(found, "id string, quality int, lines array<double>", run).toArrow()
     data = []
-    for r in rows:
-        x, counts, _ = features_of(r.text.encode())
-        keep = np.array(counts[: rule.max_lines]) > 0
-        if keep.any():
-            x = x[: rule.max_lines][keep]
-            data.append((x, np.full(len(x), BOILERPLATE if r.quality == 0 else CONTENT), r.quality))
+    for _, q, flat in sorted(zip(table["id"].to_pylist(), table["quality"].to_pylist(), (np.asarray(v.values) for v in table["lines"]), strict=True), key=lambda r: (r[0], r[2].tobytes())):
+        if len(flat):
+            x = flat.reshape(-1, N_FEATURES)
+            data.append((x, np.full(len(x), BOILERPLATE if q == 0 else CONTENT), q))
     if len({q for *_, q in data}) < 2:
         return LineField(np.zeros((2, N_FEATURES)), np.zeros((2, 2)), np.array([1.0, 0.0]))
     data.sort(key=lambda d: len(d[1]))

@@ -70,6 +70,16 @@ def test_line_field_learns(spark):
     assert np.mean([r.kept for r in rows]) > 0.97
 
 
+def test_line_field_is_trained_on_whole_texts(spark, monkeypatch):
+    rows = [(1, "\n" * 100 + "late line"), (2, "\n".join(f"line {i} of many" for i in range(150))), (3, "one line\n\nanother"), (4, "# | # |")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, quality int")
+    seen, fit = [], line_crf.fit_field
+    monkeypatch.setattr(line_crf, "fit_field", lambda texts, *a, **k: seen.append(sorted(len(y) for _, y in texts)) or fit(texts, *a, **k))
+    field = line_crf.train(docs, labels, line_crf.LabelRule(rounds=2, epochs=3))
+    assert seen == [[1, 1, 2, 150]] * 2 and all(np.isfinite(p).all() for p in (field.emit, field.step, field.first))
+
+
 def test_fingerprints(spark, docs):
     got = lz_fingerprint.edited_pairs(docs, 3).collect()
     order = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (-(r.doc_id if r.doc_id is not None else -1), r.text or ""))
