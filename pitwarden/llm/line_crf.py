@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from pitwarden.llm.common import add_columns, by_batch
 
 WHITE = b" \t\n\x0b\x0c\r"
-SYMBOLS = b"#[*$%&|<>]"
+SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
 DIGITS = bytes(range(48, 58))
 MARKS = b"!?#*$%&|<>[]{}=_~^+/\\"

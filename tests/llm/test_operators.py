@@ -70,6 +70,12 @@ def test_line_field_learns(spark):
     assert np.mean([r.kept for r in rows]) > 0.97
 
 
+def test_symbols_are_those_of_the_class():
+    flat = line_crf.LineField(np.zeros((2, line_crf.N_FEATURES)), np.zeros((2, 2)), np.zeros(2))
+    for text in ("see [[wiki]] a[0] [1] #2", "# [x] * $ % & | < > ]", "[]", ""):
+        assert line_crf.judge(text, flat, line_crf.LabelRule())[2] == len(re.findall(r"[#*$%&|<>]", text))
+
+
 def test_line_field_is_trained_on_whole_texts(spark, monkeypatch):
     rows = [(1, "\n" * 100 + "late line"), (2, "\n".join(f"line {i} of many" for i in range(150))), (3, "one line\n\nanother"), (4, "# | # |")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
