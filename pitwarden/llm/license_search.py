@@ -11,6 +11,7 @@ an empty table gives an empty result; a column named like a result column gives
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass
 from functools import lru_cache
@@ -84,19 +85,21 @@ def find_notices(text: str, rule: NoticeRule) -> list[tuple[int, int, int, int]]
             at = text.find(seed, at + 1)
     found = []
     for i, spans in windows.items():
-        spans.sort()
-        merged = [list(spans[0])]
-        for lo, hi in spans[1:]:
-            if lo <= merged[-1][1]:
-                merged[-1][1] = max(hi, merged[-1][1])
-            else:
-                merged.append([lo, hi])
         matcher = matchers[i][0]
-        for lo, hi in merged:
+        places = set()
+        # Each place in its own window: in a joined one the best match hides an edited notice before it.
+        for lo, hi in set(spans):
             for m in matcher.finditer(text, lo, hi):
                 # A changed number names another version, which no count of edits excuses.
                 if m.end() > m.start() and DIGITS.findall(m[0]) == DIGITS.findall(rule.notices[i][0]):
-                    found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    places.add((sum(m.fuzzy_counts), m.start(), m.end()))
+        # Windows that see one place with different ends: the match with the fewest edits stays.
+        taken: list[tuple[int, int]] = []
+        for e, a, b in sorted(places):
+            at = bisect.bisect_left(taken, (b,))
+            if not at or taken[at - 1][1] <= a:
+                bisect.insort(taken, (a, b))
+                found.append((i, a, b, e))
     return sorted(found)
 
 

@@ -247,6 +247,15 @@ def test_license_notices(spark, docs):
     assert license_search.license_notices(docs.limit(0)).count() == 0
 
 
+def test_stacked_notices_are_all_found():
+    rule = license_search.NoticeRule()
+    twice = "permision is hereby granted free of charge permission is hereby granted free of charge"
+    assert [f[1:] for f in license_search.find_notices(twice, rule)] == [(0, 42, 1), (43, 86, 0)]
+    assert license_search.scan("mozilla pblic licence version 2 mozilla public license version 3", rule)[5] == "mpl-2"
+    many = " ".join(["released under the mit license"] * 50)
+    assert [f[1:3] for f in license_search.find_notices(many, rule)] == [(31 * k, 31 * k + 30) for k in range(50)]
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(1)
     for trial in range(120):
