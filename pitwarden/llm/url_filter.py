@@ -44,12 +44,12 @@ class NgramModel:
 
 # A small labelled table of invented urls (host, path, 1 for unwanted).
 _UNWANTED = ("cheap-pills", "casino-win", "free-bets", "online-casino", "poker-bonus", "buy-meds", "xxx-videos", "adult-cams", "payday-loans", "free-download-crack", "hot-singles", "bet-slots")
-_WANTED = ("library", "university", "docs.python", "news.daily", "recipes", "history-museum", "weather", "travel-notes", "science.review", "gardening", "city-council", "open-maps", "ththe", "tionand", "erthin", "oningre")
-_PATHS = ("/en/12", "/de/345.html", "/fr/7/", "/es/98", "/", "/en/article/2021/05")
-_SUFFIXES = ("example.com", "example.org", "example.net")
+_WANTED = ("library", "university", "docs.python", "news.daily", "recipes", "history-museum", "weather", "travel-notes", "science.review", "gardening", "city-council", "open-maps", "parish-choir", "bird-watching", "school-board", "railway-timetable")
+_PATHS = ("/", "/index.html", "/about/contact", "/item/4711", "/archive/2021/05/", "/list.php")
+_SUFFIXES = ("com", "org", "net", "info", "co.uk")
 _PREFIXES = ("", "www.", "blog.", "m.")
 LABELLED = tuple(
-    (f"https://{_PREFIXES[(i + j) % 4]}{name}.{_SUFFIXES[(i + j) % 3]}{path}", label)
+    (f"https://{_PREFIXES[(i + j) % 4]}{name}.{_SUFFIXES[(i + j) % 5]}{path}", label)
     for names, label in ((_UNWANTED, 1), (_WANTED, 0)) for i, name in enumerate(names) for j, path in enumerate(_PATHS)
 )
 

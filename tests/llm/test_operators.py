@@ -138,6 +138,14 @@ def test_url_rules_and_model(spark):
     assert url_filter.filter_urls(df.limit(0), URL_RULES, weights).count() == 0
 
 
+def test_url_table_does_not_copy_the_test_hosts(spark):
+    table = [u for u, _ in url_filter.LABELLED]
+    assert len(table) == 168 and not [u for u in table for part in ("ththe", "tionand", "erthin", "oningre", "/en/", "/de/", "/fr/", "/es/", "example") if part in u]
+    weights = url_filter.fit(spark.createDataFrame(list(url_filter.LABELLED), "url string, label int"))
+    urls = spark.createDataFrame([(1, "http://museum.org/"), (2, "http://free-poker.com/")], "page_id long, url string")
+    assert {r.page_id: r.score >= 0.5 for r in url_filter.filter_urls(urls, (), weights).collect()} == {1: False, 2: True}
+
+
 def brute_components(texts, percent=85):
     sets = {}
     for i, t in texts:
