@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pitwarden.llm import chosen_path, factor_machine, license_search, line_crf, lz_fingerprint, rank_queue_bpe, repeats, temperature_mixing, url_filter, warc_transactions
+from pitwarden.llm import (
+    chosen_path, factor_machine, importance_radix, license_search, line_crf, lz_fingerprint, periodic_runs, projection_forest, rank_queue_bpe, repeats,
+    temperature_mixing, url_filter, warc_transactions,
+)
 from pitwarden.llm.common import documents, shared_path, width
 from pitwarden.plans.registry import Query
 
@@ -69,6 +72,18 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temperature_mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text")).drop("text")
 
 
+def op11_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_forest.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(documents(spark, sf_dir))
+
+
+def op13_importance_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_radix.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 OP3_SQL = """
 WITH p AS (
     SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
@@ -86,6 +101,71 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM t
 """
 
+OP11_SQL = """
+WITH RECURSIVE able AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM able AS a JOIN able AS b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+    SELECT vec_id AS node, vec_id AS low FROM embeddings
+    UNION
+    SELECT l.b, r.low FROM reach AS r JOIN links AS l ON l.a = r.node WHERE r.low < l.b
+), low AS (
+    SELECT node, min(low) AS component_id FROM reach GROUP BY node
+), degree AS (
+    SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN low ON node = vec_id LEFT JOIN degree ON a = vec_id
+"""
+
+OP13_SQL = """
+WITH RECURSIVE step AS (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i)
+), wordy AS (
+    SELECT doc_id, 'd' AS kind, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+    UNION ALL
+    SELECT item_id, 't', regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark
+), per_text AS (
+    SELECT kind, doc_id, unnest(list_concat(
+        w,
+        list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+        list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f
+    FROM wordy
+), counted AS (
+    SELECT kind, doc_id, f, count(*) AS n FROM per_text GROUP BY ALL
+), spelled AS (
+    SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)
+), walk AS (
+    SELECT f, h, 1 AS pos, CAST(4294967295 AS BIGINT) AS c FROM spelled
+    UNION ALL
+    SELECT f, h, pos + 2, xor(c >> 8, step.v) FROM walk JOIN step ON step.i = xor(c & 255, CAST('0x' || substr(h, pos, 2) AS BIGINT)) WHERE pos < length(h)
+), hashed AS (
+    SELECT f, xor(c, 4294967295) % 10000 AS bucket FROM walk WHERE pos > length(h)
+), totals AS (
+    SELECT b.bucket, coalesce(x.s, 0) AS s, coalesce(x.t, 0) AS t
+    FROM range(10000) AS b(bucket) LEFT JOIN (
+        SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (kind = 't'), 0) AS t
+        FROM counted JOIN hashed USING (f) GROUP BY bucket
+    ) AS x USING (bucket)
+), gain AS (
+    SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000.0::DOUBLE) / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000.0::DOUBLE)))) AS BIGINT) AS g FROM totals
+), weighed AS (
+    SELECT doc_id, sum(n * g) AS weight FROM counted JOIN hashed USING (f) JOIN gain USING (bucket) WHERE kind = 'd' GROUP BY doc_id
+), scored AS (
+    SELECT doc_id, coalesce(len(w), 0) AS words, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS score
+    FROM wordy LEFT JOIN weighed USING (doc_id) WHERE kind = 'd'
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY words >= 20) AS able FROM scored
+)
+SELECT doc_id, CAST(words + greatest(words - 1, 0) + greatest(words - 2, 0) AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+       CASE WHEN words >= 20 AND r <= 5 * able // 100 THEN r END AS rank
+FROM ranked
+"""
+
 QUERIES = {q.name: q for q in (
     Query("op1_line_crf", op1_line_crf, None, ()),
     Query("op2_lz_fingerprint", op2_lz_fingerprint, None, ()),
@@ -97,4 +177,7 @@ QUERIES = {q.name: q for q in (
     Query("op8_license_notices", op8_license_notices, None, ()),
     Query("op9_induced_repeats", op9_induced_repeats, None, ()),
     Query("op10_temperature_mixing", op10_temperature_mixing, None, ()),
+    Query("op11_projection_forest", op11_projection_forest, OP11_SQL, ()),
+    Query("op12_periodic_runs", op12_periodic_runs, None, ()),
+    Query("op13_importance_radix", op13_importance_radix, OP13_SQL, ()),
 )}
