@@ -8,7 +8,7 @@ from pitwarden.plans.registry import CATALOG, Query
 
 MODULES = (
     "tables", "steps", "account", "bars", "labelling", "alerts", "detection",
-    "effects", "facts", "mechanism", "overview", "rounds", "quality", "replays", "learning", "streams",
+    "effects", "facts", "mechanism", "overview", "rounds", "quality", "replays", "learning", "streams", "book",
 )
 
 

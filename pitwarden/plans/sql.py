@@ -45,6 +45,19 @@ order_events AS (
   SELECT order_id, commodity, trader_id, side, price, quantity, tick + o_orderkey % 7, 'filled' FROM base_orders
   WHERE o_orderstatus = 'F')"""
 
+QUOTES = """base_quotes AS (
+  SELECT 'q-' || o_orderkey || CASE o_orderkey % 7 WHEN 0 THEN 's' WHEN 1 THEN 'g' WHEN 2 THEN 'l' ELSE '' END AS order_id,
+    CASE o_orderkey % 5 WHEN 0 THEN 'AFRICA' WHEN 1 THEN 'AMERICA' WHEN 2 THEN 'ASIA' WHEN 3 THEN 'EUROPE' ELSE 'MIDDLE EAST' END AS commodity,
+    'acct_' || (o_custkey % 40) AS trader_id, CASE WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side,
+    CASE WHEN o_orderkey % 194 = 0 THEN 2006 WHEN o_orderkey % 2 = 0 THEN 1999 - o_orderkey % 13 ELSE 2001 + o_orderkey % 11 END / 2.0::DOUBLE AS price,
+    CAST(10 + o_orderkey % 40 AS BIGINT) AS quantity, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 5 = 0 THEN (10 + o_orderkey % 40) // 3 ELSE 0 END AS part,
+    """ + _DAY.format(c="o_orderdate") + """ AS start, o_orderkey % 3 AS part_wait,
+    CASE o_orderstatus WHEN 'F' THEN 3 + o_orderkey % 7 WHEN 'P' THEN 1 + o_orderkey % 15 ELSE 20 + o_orderkey % 41 END AS wait FROM orders),
+quote_changes AS (
+  SELECT commodity, side, price, start AS tick, quantity AS change FROM base_quotes UNION ALL
+  SELECT commodity, side, price, start + part_wait, -part FROM base_quotes WHERE part > 0 UNION ALL
+  SELECT commodity, side, price, start + wait, part - quantity FROM base_quotes)"""
+
 EPISODES = """episodes AS (
   SELECT 'ep-' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS event_id, r_name AS commodity,
     CASE s_suppkey % 4 WHEN 0 THEN 'spoofing' WHEN 1 THEN 'wash_trading' WHEN 2 THEN 'pump_and_dump'

@@ -125,6 +125,30 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quote_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of one book per region around a price of 1,000, on a grid of half points, each with its end.
+
+    Prices, lives and partial fills follow from the order key; every 194th order is a buy above the touch, which inverts the book.
+    """
+    od = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    tag = F.when(key % 7 == 0, "s").when(key % 7 == 1, "g").when(key % 7 == 2, "l").otherwise("")
+    buy = key % 2 == 0
+    price = F.when(key % 194 == 0, 2006).when(buy, 1999 - key % 13).otherwise(2001 + key % 11) / F.lit(2.0)
+    size = (10 + key % 40).cast("long")
+    part = F.when((F.col("o_orderstatus") == "F") & (key % 5 == 0), F.floor(size / 3).cast("long")).otherwise(F.lit(0).cast("long"))
+    event = lambda kind, wait, q: F.struct(F.lit(kind).alias("event_type"), wait.cast("long").alias("wait"), q.alias("q"))
+    end = (
+        F.when(F.col("o_orderstatus") == "F", event("filled", 3 + key % 7, size - part))
+        .when(F.col("o_orderstatus") == "P", event("cancelled", 1 + key % 15, size - part)).otherwise(event("cancelled", 20 + key % 41, size - part))
+    )
+    steps = F.filter(F.array(event("placed", F.lit(0), size), F.when(part > 0, event("partial_fill", key % 3, part)), end), lambda e: e.isNotNull())
+    return od.select(
+        F.concat(F.lit("q-"), key.cast("string"), tag).alias("order_id"), F.element_at(F.array(*[F.lit(r) for r in REGIONS]), (key % 5 + 1).cast("int")).alias("commodity"),
+        account(F.col("o_custkey")).alias("trader_id"), F.when(buy, "buy").otherwise("sell").alias("side"), price.alias("price"), day_tick("o_orderdate").alias("tick"), F.explode(steps).alias("e"),
+    ).select("order_id", "commodity", "trader_id", "side", "price", F.col("e.q").alias("quantity"), (F.col("tick") + F.col("e.wait")).alias("tick"), F.col("e.event_type").alias("event_type"))
+
+
 def manipulation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One episode per supplier: persona, span and two accounts follow from its key."""
     key = F.col("s_suppkey")
@@ -186,6 +210,7 @@ LOGS = {
     "trade_log": trade_log,
     "brand_tape": brand_tape,
     "order_log": order_log,
+    "quote_log": quote_log,
     "manipulation_events": manipulation_events,
     "scored_windows": scored_windows,
 }
