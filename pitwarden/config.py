@@ -128,6 +128,7 @@ class DetectorConfig:
     step_size: float = 0.05
     subsample: float = 0.8
     feature_subset: str = "0.8"
+    max_training_rows: int = 200_000  # of one fit; beyond it a hash thins all rows alike
     seed: int = 42
     min_case_windows: int = 2
     edge_ticks: int = 120

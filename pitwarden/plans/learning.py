@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pitwarden.config import PERSONAS
 from pitwarden.models import detector as dm, forest as fo, scaling as sc, thresholds as th
-from pitwarden.operators import labels as lb
+from pitwarden.operators import cases as cs, ensemble as en, labels as lb
 from pitwarden.operators.features import FEATURE_COLUMNS
 from pitwarden.operators.lineage import cut
 from pitwarden.plans.labelling import LABEL_CTES, episodes, scored, span_labels
@@ -70,8 +70,10 @@ def class_weights(spark, sf_dir):
     return rounded(th.class_weight(labelled(spark, sf_dir), "spoofing"))
 
 
-@query("group_folds", with_ctes(TRADES, SCORED) + """, g AS (SELECT trader_id, CAST((row_number() OVER (ORDER BY count(*) DESC, trader_id) - 1) % 3 AS INTEGER) AS fold FROM scored GROUP BY 1)
-SELECT trader_id, fold, count(*) AS rows FROM scored JOIN g USING (trader_id) GROUP BY 1, 2""", "L8 L16")
+@query("group_folds", with_ctes(TRADES, SCORED).replace("WITH ", "WITH RECURSIVE ", 1) + """, g AS (SELECT trader_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, trader_id) AS i FROM scored GROUP BY 1),
+deal AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS trader_id, [0, 0, 0]::BIGINT[] AS load, 0 AS k, CAST(0 AS BIGINT) AS n
+  UNION ALL SELECT g.i, g.trader_id, list_transform([1, 2, 3], lambda j: load[j] + CASE WHEN j = list_position(load, list_min(load)) THEN g.n ELSE 0 END), list_position(load, list_min(load)), g.n FROM deal JOIN g ON g.i = deal.i + 1)
+SELECT trader_id, CAST(k - 1 AS INTEGER) AS fold, n AS rows FROM deal WHERE i > 0""", "L8 L16")
 def group_folds(spark, sf_dir):
     return th.group_folds(scored(spark, sf_dir), "trader_id", 3).groupBy("trader_id", "fold").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -99,6 +101,47 @@ def picked_threshold(spark, sf_dir):
     return t.withColumn("best_f1", F.floor(F.col("best_f1") * 1e6 + 0.5) / 1e6)
 
 
+def long_scores(spark, sf_dir):
+    """(v, name, prob, label): stand-in scores of every persona, in three periods that stand for three trainings."""
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("name"), F.col(f"prob_{p}").alias("prob"), F.col(p).alias("label")) for p in PERSONAS]))
+    v = F.when(F.col("window_start") < 600, 0).when(F.col("window_start") < 1200, 1).otherwise(2)
+    return labelled(spark, sf_dir).select(v.alias("v"), each.alias("x")).select("v", "x.*")
+
+
+_grid = ", ".join(f"({i}, {round(0.25 + i * 0.025, 10)}::DOUBLE)" for i in range(27))
+LONG_SWEEP = "lng AS (" + " UNION ALL ".join(
+    f"SELECT CASE WHEN window_start < 600 THEN 0 WHEN window_start < 1200 THEN 1 ELSE 2 END AS v, '{p}' AS name, prob_{p} AS prob, {p} AS label FROM lab" for p in PERSONAS) + f"""),
+lsweep AS (SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1 FROM (
+  SELECT v, name, i, threshold, count(*) FILTER (WHERE prob >= threshold AND label = 1) AS tp, count(*) FILTER (WHERE prob >= threshold AND label = 0) AS fp, count(*) FILTER (WHERE prob < threshold AND label = 1) AS fn
+  FROM lng CROSS JOIN (VALUES {_grid}) g(i, threshold) GROUP BY 1, 2, 3, 4)),
+lsm AS (SELECT *, lead(threshold) OVER w AS nt, lead(smooth) OVER w AS ns FROM (
+  SELECT *, (coalesce(lag(f1) OVER w, f1) + f1 + coalesce(lead(f1) OVER w, f1)) / 3.0::DOUBLE AS smooth FROM lsweep WINDOW w AS (PARTITION BY v, name ORDER BY i)) WINDOW w AS (PARTITION BY v, name ORDER BY i)),
+ltop AS (SELECT v, name, max(smooth) AS top FROM lsm GROUP BY 1, 2),
+lmid AS (SELECT v, name, any_value(top) AS top, quantile_cont(threshold, 0.5) AS m FROM lsm JOIN ltop USING (v, name) WHERE smooth >= top - 0.005 GROUP BY 1, 2),
+fresh AS (SELECT v, name, threshold, top AS best_f1 FROM lsm JOIN lmid USING (v, name) QUALIFY row_number() OVER (PARTITION BY v, name ORDER BY round(abs(threshold - m), 9), threshold) = 1),
+st0 AS (SELECT name, threshold, best_f1, 0 AS kept FROM fresh WHERE v = 0)"""
+
+
+def _settled(v: int) -> str:
+    return f"""at{v} AS (SELECT o.name, o.threshold AS old, o.kept AS times, CASE WHEN nt IS NOT NULL AND o.threshold > s.threshold THEN smooth + (ns - smooth) / (nt - s.threshold) * (o.threshold - s.threshold) ELSE smooth END AS at_old
+  FROM st{v - 1} o JOIN lsm s ON s.name = o.name AND s.v = {v} AND s.threshold <= o.threshold AND (nt IS NULL OR o.threshold < nt)),
+pk{v} AS (SELECT name, best_f1, old, times, CASE WHEN times < 2 AND at_old >= best_f1 - 0.01 THEN old ELSE threshold END AS threshold FROM fresh LEFT JOIN at{v} USING (name) WHERE v = {v}),
+st{v} AS (SELECT name, threshold, best_f1, CASE WHEN threshold = old THEN times + 1 ELSE 0 END AS kept FROM pk{v})"""
+
+
+@query("sticky_thresholds", with_ctes(*L_CTES, LONG_SWEEP, _settled(1), _settled(2)) + f"""SELECT version, name, threshold, {r('best_f1')} AS best_f1, CAST(kept AS INTEGER) AS kept
+FROM (SELECT 0 AS version, * FROM st0 UNION ALL SELECT 1, * FROM st1 UNION ALL SELECT 2, * FROM st2)""", "L10 L9")
+def sticky_thresholds(spark, sf_dir):
+    """Thresholds of three trainings in a row, each with the state that the last one left."""
+    sweep = cut(th.f1_sweep(long_scores(spark, sf_dir), "prob", "label", 0.25, 0.9, 27, by=["v", "name"]))
+    state, out = None, None
+    for version in range(3):
+        state = cut(th.settle_thresholds(sweep.filter(F.col("v") == version).drop("v"), state))
+        part = state.withColumn("version", F.lit(version))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("best_f1", F.floor(F.col("best_f1") * 1e6 + 0.5) / 1e6)
+
+
 @query("budget_threshold", with_ctes(*L_CTES, sweep_sql(0.05, 0.95, 91)) + """SELECT round(greatest((SELECT threshold FROM sweep ORDER BY f1 DESC, i LIMIT 1), (SELECT quantile_cont(prob_spoofing, 0.98) FROM lab)), 4) AS threshold""", "L11")
 def budget_threshold(spark, sf_dir):
     return th.budget_threshold(cut(labelled(spark, sf_dir)), "prob_spoofing", "spoofing", 0.02)
@@ -162,9 +205,34 @@ def market_forest_scores(spark, sf_dir):
     return fo.market_scores(m, cols, fo.fit_forest(distinct, cols, ["row"], contamination=0.05)).select("commodity", "window_start", "mkt_anomaly_score")
 
 
+_trained: dict[tuple[str, str], tuple] = {}
+
+
+def detector_run(spark, sf_dir):
+    """(alerts, flags) of the default detector on all account features, trained and stored once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _trained:
+        f = stored_features(spark, sf_dir)
+        labels = cut(lb.span_labels(f, episodes(spark, sf_dir)))
+        d = dm.train(f, labels.select(*KEYS, *PERSONAS), list(FEATURE_COLUMNS))
+        alerts = cut(dm.score(f, d))
+        explained = alerts.join(dm.explain(alerts, d), KEYS, "left").withColumn("top_features", F.coalesce("top_features", F.create_map().cast("map<string,double>")))
+        _trained[key] = alerts, cut(en.flags_table(explained, d.cfg, "top_features"))
+    return _trained[key]
+
+
 @query("detector_alerts", None, "L4 L6 L8 M3")
 def detector_alerts(spark, sf_dir):
-    f = stored_features(spark, sf_dir)
-    labels = cut(lb.span_labels(f, episodes(spark, sf_dir)))
-    d = dm.train(f, labels.select(*KEYS, *PERSONAS), list(FEATURE_COLUMNS))
-    return dm.score(f, d).select(*KEYS, "iso_score", *[f"prob_{p}" for p in PERSONAS], "final_flag", "alert_tier", "predicted_persona")
+    return detector_run(spark, sf_dir)[0].select(*KEYS, "iso_score", *[f"prob_{p}" for p in PERSONAS], "final_flag", "alert_tier", "predicted_persona")
+
+
+@query("detector_flags", None, "L17 M6")
+def detector_flags(spark, sf_dir):
+    return detector_run(spark, sf_dir)[1]
+
+
+@query("detector_cases", None, "M7 M8 L17")
+def detector_cases(spark, sf_dir):
+    """Cases of the trained detector's own flags with the episode each one meets."""
+    cases = cut(cs.build_cases(detector_run(spark, sf_dir)[1]))
+    return cs.match_cases(cases, episodes(spark, sf_dir))
