@@ -2,7 +2,9 @@
 
 The token share of a source, raised to an exponent between 0 and 1 and normalised, is its weight: 1 keeps the corpus as
 it is, 0 gives every source the same. The exponent is found by repeated section so that the entropy of the weights
-reaches a target, unless a repetition limit asks for a larger one. A source's budget (weight times total tokens) is spent
+reaches a target, by default half way from the entropy of the corpus to the greatest one, so that it binds wherever the
+sources differ; a repetition limit may ask for a larger exponent. Budgets (weight times total tokens) are whole tokens:
+all are rounded down and what is missing to the total goes, a token each, to the largest remainders. A budget is spent
 in epochs. Each epoch goes through the source's blocks in an order of its own; the last one stops at the block, and in
 it at the document, where the budget ends.
 
@@ -28,7 +30,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class MixRule:
-    entropy: float = 0.97  # target, as a share of the greatest entropy (all sources alike)
+    lift: float = 0.5  # target entropy: so far from the corpus's own (0) to the greatest, all sources alike (1)
+    entropy: float | None = None  # or a target as a share of the greatest entropy
     max_epochs: float = 4.0  # no source is repeated more often, on average over its tokens
     budget: float = 1.0  # tokens of the mixture as a multiple of the input's
     blocks: int = 256  # per source
@@ -42,7 +45,9 @@ def tokens_of(text: Column) -> Column:
 
 
 def _hash(*parts) -> Column:
-    return F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    """60 bits of the md5 of the parts, a missing one left out."""
+    joined = F.concat_ws("|", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
 
 
 def block_of(doc_id: Column, rule: MixRule) -> Column:
@@ -63,8 +68,6 @@ def find_exponent(shares: DataFrame, rule: MixRule) -> float:
     n = shares.count()
     if n < 2:
         return 1.0
-    target = rule.entropy * math.log(n)
-
     def measure(points: list[float]) -> list[tuple[float, float]]:
         p = F.col("p")
         sums = [c for i, a in enumerate(points) for c in (
@@ -74,7 +77,8 @@ def find_exponent(shares: DataFrame, rule: MixRule) -> float:
 
     # Entropy falls and repetition falls as the exponent rises, so each condition has one boundary.
     bounds = {"entropy": (0.0, 1.0), "epochs": (0.0, 1.0)}
-    (low_h, low_r), (high_h, high_r) = measure([0.0, 1.0])
+    (_, low_r), (high_h, high_r) = measure([0.0, 1.0])
+    target = rule.entropy * math.log(n) if rule.entropy is not None else high_h + rule.lift * (math.log(n) - high_h)
     if high_h >= target:
         bounds["entropy"] = (1.0, 1.0)
     if low_r <= rule.max_epochs:
@@ -116,8 +120,11 @@ def source_plan(docs: DataFrame, rule: MixRule = MixRule()) -> DataFrame:
     norm = shares.agg(F.sum(F.pow("p", F.lit(alpha)))).head()[0] or 1.0
     p = F.col("tokens") / F.lit(float(max(total, 1)))
     weight = F.when(F.col("tokens") > 0, F.pow(p, F.lit(alpha)) / F.lit(norm)).otherwise(F.lit(0.0))
-    budget = F.floor(weight * F.lit(rule.budget * total)).cast("long")
-    planned = sources.withColumns({"exponent": F.lit(alpha), "weight": weight, "budget": budget}).withColumns({
+    exact = sources.withColumns({"exponent": F.lit(alpha), "weight": weight}).withColumn("exact", F.col("weight") * F.lit(rule.budget * total))
+    floors = stage(exact.withColumn("floor", F.floor("exact").cast("long")), "floors")
+    missing = max(0, math.floor(rule.budget * total + 0.5) - (floors.agg(F.sum("floor")).head()[0] or 0))
+    lifted = floors.filter("tokens > 0").orderBy((F.col("exact") - F.col("floor")).desc(), "src").limit(missing).select("src", F.lit(1).alias("one"))
+    planned = floors.join(lifted, "src", "left").withColumn("budget", F.col("floor") + F.coalesce("one", F.lit(0))).drop("exact", "floor", "one").withColumns({
         "epochs": F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1).cast("int"),
         "rest": F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0),
     })
