@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pitwarden.llm.common import add_columns
 
 LOW = 63
-CACHE_ENTRIES = 700_000  # in each of two generations; under 400 MB in a worker
+CACHE_ENTRIES = 200_000  # in each of two generations; under 100 MB in a worker
 CACHED_CHARS = 32  # longer pre-tokens are not kept
 
 
