@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from hashlib import md5
 from zlib import crc32
 
 import numpy as np
@@ -147,21 +148,23 @@ def train(docs: DataFrame, labels: DataFrame, rule: FactorRule = FactorRule()) -
         for batch in batches:
             ids, texts, ys = (batch.column(i).to_pylist() for i in range(3))
             pairs = [vector_of(t, rule) for t in texts]
-            yield {"doc_id": ids, "label": ys, "slots": [p[0] for p in pairs], "vals": [p[1] for p in pairs]}
+            digests = [md5((t or "").encode()).hexdigest() for t in texts]  # orders rows of one id
+            yield {"doc_id": ids, "digest": digests, "label": ys, "slots": [p[0] for p in pairs], "vals": [p[1] for p in pairs]}
 
-    table = by_batch(drawn, "doc_id long, label int, slots array<int>, vals array<float>", run).toArrow().sort_by([("doc_id", "ascending")])
+    table = by_batch(drawn, "doc_id long, digest string, label int, slots array<int>, vals array<float>", run).toArrow().sort_by([("doc_id", "ascending"), ("digest", "ascending")])
     rows = list(zip(table["slots"].to_numpy(), table["vals"].to_numpy(), strict=True))
     return fit(rows, table["label"].to_numpy().astype(np.float32), rule)
 
 
 def score_quality(docs: DataFrame, machine: Machine, rule: FactorRule = FactorRule(), text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``score`` (high: label 1 likelier) and ``predicted``."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # 2**bits * (rank + 1) numbers
+    # Plain arrays, which workers read without this package: 2**bits * (rank + 1) numbers.
+    shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.linear, machine.factors))
 
     def run(texts):
         pairs = [vector_of(t, rule) for t in texts]
         length = np.array([len(p[0]) for p in pairs])
-        z, _, _ = margins(shared.value, np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]), np.cumsum(length) - length)
+        z, _, _ = margins(Machine(*shared.value), np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]), np.cumsum(length) - length)
         score = sigmoid(z.astype(np.float64))
         return {"score": score, "predicted": (score >= rule.threshold).astype(np.int32)}
 
