@@ -347,19 +347,23 @@ def components(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
     sets = stage(full_sets(docs, wanted, rule), "items")
     links = stage(confirm(pairs, sets, rule), "links")
     found = stage(connected_components(links, [], "a", "b"), "components")
-    # What is left: candidates between different components. Only classes with a candidate can have one.
+    # What is left: candidates between different components. Outside chunks only classes with a candidate can have one.
     label = wanted.select("cid").join(found.withColumnsRenamed({"node": "cid"}), "cid", "left").select("cid", F.coalesce("component", "cid").alias("component"))
     label = stage(label, "labels")
     mixed = lambda nodes: nodes.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("node")
     inside = small.join(label, "cid")
     rest = inside.join(mixed(inside), "node")
     if has_large:
-        inside = large.join(label, "cid")
+        # In chunks, a member without a first link has not met the other chunks.
+        inside = large.join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         rest = rest.select("node", "cid", "component").unionByName(_chunk_pairs(inside.join(mixed(inside), "node"), rule))
     late = stage(open_links(rest.join(sketches, "cid"), rule), "open")
+    if has_large:
+        unread = late.select(F.explode(F.array("a", "b")).alias("cid")).filter("cid IS NOT NULL").distinct().join(wanted.select("cid"), "cid", "left_anti")
+        sets = sets.unionByName(stage(full_sets(docs, unread.join(classes.select("cid", "tid"), "cid"), rule), "items"))
     if not late.isEmpty():
         few = late.filter("b IS NOT NULL").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        many = late.filter("b IS NULL").select("node", F.col("a").alias("cid")).join(sets.join(label, "cid"), "cid")
+        many = late.filter("b IS NULL").select("node", F.col("a").alias("cid")).join(sets, "cid").join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         found = stage(connected_components(links.unionByName(confirm(few, sets, rule)).unionByName(compare_nodes(many, rule)), [], "a", "b"), "components")
     placed = rows.drop("tokens", "sketch").join(found.withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = placed.filter("cid IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
