@@ -15,6 +15,7 @@ import bisect
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import regex
 from pyspark.sql import DataFrame
@@ -110,15 +111,21 @@ def scan(text: str | None, rule: NoticeRule) -> tuple:
     words = WORD.findall((text or "").encode().lower().decode())  # bytes.lower() changes A-Z only
     joined = " ".join(words)
     padded = f" {joined} "
+    gaps = [end - 1 for end in accumulate(len(w) + 1 for w in words)]  # places of the spaces in ``joined``, and its end
+
+    def before(at: int) -> int:
+        """Words that end before a place."""
+        return bisect.bisect_left(gaps, at)
+
     starts, labels = [], set()
     for phrase, label in rule.base:
         at = padded.find(f" {phrase} ")
         while at >= 0:
-            starts.append(padded.count(" ", 0, at))
+            starts.append(before(at - 1) + 1 if at else 0)
             labels.add(label)
             at = padded.find(f" {phrase} ", at + 1)
     found = find_notices(joined, rule)
-    spans = [{"label": rule.notices[i][1], "start": joined.count(" ", 0, a), "end": joined.count(" ", 0, max(a, b - 1)) + 1, "errors": e} for i, a, b, e in found]
+    spans = [{"label": rule.notices[i][1], "start": before(a), "end": before(max(a, b - 1)) + 1, "errors": e} for i, a, b, e in found]
     best = max([1.0 if labels else 0.0, *(1.0 - e / len(rule.notices[i][0]) for i, _, _, e in found)])
     return (
         len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)),
