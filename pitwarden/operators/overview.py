@@ -10,6 +10,8 @@ from pitwarden.config import PERSONAS
 from pitwarden.functions.exprs import canonical_persona
 from pitwarden.functions.rolling import back_fill, forward_fill
 from pitwarden.operators.bars import bucket
+from pitwarden.operators.lineage import cut
+from pitwarden.operators.quantiles import exact_percentiles
 from pitwarden.operators.steps import log_order
 
 
@@ -133,11 +135,9 @@ def sampled_returns(trades: DataFrame, step: int = 30) -> DataFrame:
 
 def return_distribution(trades: DataFrame, step: int = 30, bins: int = 40) -> DataFrame:
     """Histogram density of clipped returns beside the fitted normal density."""
-    r = sampled_returns(trades, step)
-    s = r.groupBy("commodity").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mu"), F.stddev_samp("ret").alias("sd"),
-        F.percentile("ret", 0.005).alias("lo"), F.percentile("ret", 0.995).alias("hi"),
-    ).filter("n > 20 AND hi > lo")
+    r = cut(sampled_returns(trades, step))
+    tails = exact_percentiles(r, ["ret"], [0.005, 0.995], ["commodity"]).groupBy("commodity").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    s = r.groupBy("commodity").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mu"), F.stddev_samp("ret").alias("sd")).join(tails, "commodity").filter("n > 20 AND hi > lo")
     width = (F.col("hi") - F.col("lo")) / bins
     x = F.least(F.greatest("ret", "lo"), F.col("hi"))
     at = F.least(F.floor((x - F.col("lo")) / width).cast("int"), F.lit(bins - 1))

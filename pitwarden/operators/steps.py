@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pitwarden.config import FAST_CANCEL_TICKS, LARGE_ORDER_MULTIPLE, LAYER_MIN_LEVELS, FeatureConfig
-from pitwarden.functions.rolling import expanding_median, forward_fill
+from pitwarden.functions.rolling import forward_fill
 from pitwarden.operators.asof import asof_next
+from pitwarden.operators.quantiles import running_medians
 
 
 def log_order() -> Column:
@@ -74,11 +75,7 @@ def size_baseline(orders: DataFrame, bounds: DataFrame, cfg: FeatureConfig) -> D
         .groupBy(*k, step_of(cfg).alias("step"))
         .agg(F.percentile(F.col("quantity").cast("double"), 0.5).alias("step_median"))
     )
-    w = Window.partitionBy(*k).orderBy("step")
-    grid = dense_steps(bounds, cfg).join(medians, [*k, "step"], "left").withColumns({
-        "prior_baseline": expanding_median("step_median", w, lag=1),
-        "current_baseline": expanding_median("step_median", w),
-    })
+    grid = running_medians(dense_steps(bounds, cfg).join(medians, [*k, "step"], "left"), k, "step", "step_median", "prior_baseline", "current_baseline")
     usable = F.coalesce("prior_baseline", "current_baseline", F.lit(1.0))
     return grid.select(*k, "step", "step_median", "prior_baseline", F.greatest(usable, F.lit(1.0)).alias("baseline"))
 

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from pitwarden.config import PERSONAS
-from pitwarden.models import detector as dm, forest as fo, scaling as sc, thresholds as th
-from pitwarden.operators import cases as cs, ensemble as en, labels as lb
+from pitwarden.config import PERSONAS, BarConfig
+from pitwarden.models import bar_model as bm, detector as dm, forest as fo, scaling as sc, thresholds as th
+from pitwarden.operators import bar_features as bf, bars as bo, cases as cs, ensemble as en, labels as lb
 from pitwarden.operators.features import FEATURE_COLUMNS
 from pitwarden.operators.lineage import cut
 from pitwarden.plans.labelling import LABEL_CTES, episodes, scored, span_labels
@@ -13,6 +13,7 @@ from pitwarden.plans import bar_sql as bs
 from pitwarden.plans.registry import query
 from pitwarden.plans.shaping import r, rounded
 from pitwarden.plans.sql import SCORED, TRADES, with_ctes
+from pitwarden.sources import derived
 
 COLS = ["iso_score", *[f"prob_{p}" for p in PERSONAS]]
 KEYS = ["commodity", "window_start", "trader_id"]
@@ -155,6 +156,55 @@ def smoothed_probabilities(spark, sf_dir):
     return rounded(s.select("commodity", "segment", "minute", *probs))
 
 
+VERDICT_LIMITS = {"spoofing": 0.62, "wash_trading": 0.71, "pump_and_dump": 0.66, "layering": 0.68}
+_sm = ", ".join(f"avg(prob_{p}) OVER w AS prob_{p}" for p in PERSONAS)
+_best = "greatest(" + ", ".join(f"prob_{p} - {t}::DOUBLE" for p, t in VERDICT_LIMITS.items()) + ")"
+
+
+@query("bar_verdicts", with_ctes(*bs.BARS, SCORES) + f""", smoothed AS (SELECT commodity, segment, minute, {_sm} FROM minute_scores
+  WINDOW w AS (PARTITION BY commodity, segment ORDER BY minute ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+j AS (SELECT *, {_best} AS best FROM smoothed)
+SELECT commodity, segment, minute, {', '.join(f"{r(f'prob_{p}', 4)} AS prob_{p}" for p in PERSONAS)}, {r('best', 4)} + 0.0 AS margin, {r('best', 4)} >= 0 AS flag,
+  CASE WHEN {r('best', 4)} >= 0 THEN CASE {' '.join(f"WHEN prob_{p} - {t}::DOUBLE = best THEN '{p}'" for p, t in VERDICT_LIMITS.items())} END END AS predicted_persona FROM j""", "L15 L12 L14")
+def bar_verdicts(spark, sf_dir):
+    """The bar model's judgement of smoothed stand-in scores, each persona against a threshold of its own."""
+    probs = [f"prob_{p}" for p in VERDICT_LIMITS]
+    s = th.smooth_probabilities(minute_scores(spark, sf_dir)[1], probs, 5).select("commodity", "segment", "minute", *probs)
+    return bm.judge(s, VERDICT_LIMITS)
+
+
+def region_market(spark, sf_dir, region: str | None = None):
+    """Labelled bar features of the regional tape: bars of five ticks, three of which an episode must touch."""
+    cfg = BarConfig(bar_ticks=5, label_min_overlap=3)
+    tape = derived.staged(spark, sf_dir, "trade_log")
+    bars = cut(bo.minute_bars(tape.filter(F.col("commodity") == region) if region else tape, cfg))
+    labels = lb.minute_labels(bars, episodes(spark, sf_dir), cfg=cfg)
+    return cut(bf.bar_features(bars, cfg).join(labels, ["commodity", "segment", "minute"]))
+
+
+@query("stacked_markets", with_ctes(TRADES, bs.RAW_BARS.replace("tick // 60", "tick // 5"), bs.GRID) + """SELECT CASE commodity WHEN 'AFRICA' THEN 0 WHEN 'ASIA' THEN 1 ELSE 2 END AS market, commodity,
+  CAST(segment AS BIGINT) + 1000000 * CASE commodity WHEN 'AFRICA' THEN 0 WHEN 'ASIA' THEN 1 ELSE 2 END AS segment, count(*) AS minutes, min(minute) AS first_minute
+  FROM bars WHERE commodity IN ('AFRICA', 'ASIA', 'EUROPE') GROUP BY ALL""", "L16")
+def stacked_markets(spark, sf_dir):
+    parts = [region_bars(spark, sf_dir, x) for x in ("AFRICA", "ASIA", "EUROPE")]
+    return bm.stack_markets(parts).groupBy("market", "commodity", "segment").agg(F.count(F.lit(1)).alias("minutes"), F.min("minute").alias("first_minute"))
+
+
+def region_bars(spark, sf_dir, region: str):
+    tape = derived.staged(spark, sf_dir, "trade_log").filter(F.col("commodity") == region)
+    return bo.minute_bars(tape, BarConfig(bar_ticks=5, label_min_overlap=3)).select("commodity", "segment", "minute")
+
+
+@query("bar_model_scores", None, "L15 L16 L12")
+def bar_model_scores(spark, sf_dir):
+    """A bar model trained on four regional markets, each a market of its own, scores the fifth."""
+    every = region_market(spark, sf_dir)
+    train = [every.filter(F.col("commodity") == x) for x in derived.REGIONS[:4]]
+    model = bm.fit_bar_model(cut(bm.stack_markets(train)))
+    scored = bm.score_bars(every.filter(F.col("commodity") == derived.REGIONS[4]), model)
+    return scored.select("commodity", "segment", "minute", "flag", "predicted_persona", "margin", *[c for c in scored.columns if c.startswith("prob_")])
+
+
 SKILL = """d AS (SELECT commodity, prob_spoofing AS s, count(*) FILTER (WHERE spoofing = 1) AS p, count(*) FILTER (WHERE spoofing = 0) AS n FROM lab GROUP BY 1, 2),
 dd AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY commodity ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(p) OVER dn AS tp, sum(p + n) OVER dn AS al FROM d WINDOW dn AS (PARTITION BY commodity ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
 k AS (SELECT commodity, sum(p) AS P1, sum(n) AS N1, sum(p * (below + n / 2)) AS u, sum(p * tp / al) AS ap, coalesce(sum(p) FILTER (WHERE s >= 0.9), 0) AS tpf, coalesce(sum(n) FILTER (WHERE s >= 0.9), 0) AS fpf FROM dd GROUP BY 1),
