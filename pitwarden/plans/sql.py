@@ -8,8 +8,8 @@ _TRADE = """l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_su
     {commodity} AS commodity, {tick} AS tick,
     floor(l_extendedprice / l_quantity * 100) / 100.0 AS price,
     CAST(l_quantity AS BIGINT) AS quantity,
-    CASE WHEN o_orderkey % 2 = 1 THEN 'acct_' || (l_suppkey % 40) ELSE 'acct_' || (o_custkey % 40) END AS buyer_trader_id,
-    CASE WHEN o_orderkey % 2 = 1 THEN 'acct_' || (o_custkey % 40) ELSE 'acct_' || (l_suppkey % 40) END AS seller_trader_id,
+    CASE WHEN o_orderkey % 2 = 1 THEN 'acct_' || (l_suppkey // 10 * 2 + 1) ELSE 'acct_' || (o_custkey // 20 * 2) END AS buyer_trader_id,
+    CASE WHEN o_orderkey % 2 = 1 THEN 'acct_' || (o_custkey // 20 * 2) ELSE 'acct_' || (l_suppkey // 10 * 2 + 1) END AS seller_trader_id,
     CASE WHEN o_orderstatus = 'O' THEN 'buy' WHEN o_orderstatus = 'F' THEN 'sell'
          WHEN l_linenumber % 2 = 1 THEN 'buy' ELSE 'sell' END AS aggressor_side,
     l_orderkey * 8 + l_linenumber AS seq"""
@@ -31,7 +31,7 @@ ORDERS = """base_orders AS (
            WHEN 4 THEN 'i' ELSE '' END AS order_id,
     CASE o_orderkey % 5 WHEN 0 THEN 'AFRICA' WHEN 1 THEN 'AMERICA' WHEN 2 THEN 'ASIA' WHEN 3 THEN 'EUROPE'
          ELSE 'MIDDLE EAST' END AS commodity,
-    'acct_' || (o_custkey % 40) AS trader_id,
+    'acct_' || (o_custkey // 20 * 2) AS trader_id,
     CASE WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side,
     floor(o_totalprice / 100) / 100.0 AS price,
     CAST(CASE WHEN o_orderkey % 17 = 0 THEN 400 ELSE 10 + o_orderkey % 40 END AS BIGINT) AS quantity,
@@ -48,7 +48,7 @@ order_events AS (
 QUOTES = """base_quotes AS (
   SELECT 'q-' || o_orderkey || CASE o_orderkey % 7 WHEN 0 THEN 's' WHEN 1 THEN 'g' WHEN 2 THEN 'l' ELSE '' END AS order_id,
     CASE o_orderkey % 5 WHEN 0 THEN 'AFRICA' WHEN 1 THEN 'AMERICA' WHEN 2 THEN 'ASIA' WHEN 3 THEN 'EUROPE' ELSE 'MIDDLE EAST' END AS commodity,
-    'acct_' || (o_custkey % 40) AS trader_id, CASE WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side,
+    'acct_' || (o_custkey // 20 * 2) AS trader_id, CASE WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side,
     CASE WHEN o_orderkey % 194 = 0 THEN 2006 WHEN o_orderkey % 2 = 0 THEN 1999 - o_orderkey % 13 ELSE 2001 + o_orderkey % 11 END / 2.0::DOUBLE AS price,
     CAST(10 + o_orderkey % 40 AS BIGINT) AS quantity, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 5 = 0 THEN (10 + o_orderkey % 40) // 3 ELSE 0 END AS part,
     """ + _DAY.format(c="o_orderdate") + """ AS start, o_orderkey % 3 AS part_wait,
@@ -63,7 +63,7 @@ EPISODES = """episodes AS (
     CASE s_suppkey % 4 WHEN 0 THEN 'spoofing' WHEN 1 THEN 'wash_trading' WHEN 2 THEN 'pump_and_dump'
          ELSE 'layering' END AS persona,
     (s_suppkey * 37) % 2000 AS start_tick, (s_suppkey * 37) % 2000 + 60 + s_suppkey % 120 AS end_tick,
-    ['acct_' || (s_suppkey % 40), 'acct_' || ((s_suppkey * 7 + 3) % 40)] AS trader_ids,
+    ['acct_' || (s_suppkey // 10 * 2 + 1), 'acct_' || ((s_suppkey * 7 + 3) // 20 * 2)] AS trader_ids,
     (s_suppkey % 10) / 10.0 AS fake_depth
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 episode_accounts AS (

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from pitwarden.operators.lineage import ensure_checkpoint_dir, table_exists
 
-ACCOUNTS = 40
+CUSTOMER_DESK, SUPPLIER_DESK = 20, 10  # neighbouring keys that trade as one account
 EPOCH = "1995-01-01"
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
@@ -35,8 +35,14 @@ def day_tick(c: str) -> Column:
     return F.datediff(F.col(c).cast("date"), F.lit(EPOCH).cast("date")).cast("long")
 
 
-def account(c: Column) -> Column:
-    return F.concat(F.lit("acct_"), (c % ACCOUNTS).cast("string"))
+def customer_account(key: Column) -> Column:
+    """The desk of a customer, with an even number; there are as many as the tables have customers for."""
+    return F.concat(F.lit("acct_"), (F.floor(key / CUSTOMER_DESK) * 2).cast("string"))
+
+
+def supplier_account(key: Column) -> Column:
+    """The desk of a supplier, with an odd number."""
+    return F.concat(F.lit("acct_"), (F.floor(key / SUPPLIER_DESK) * 2 + 1).cast("string"))
 
 
 def unit_price() -> Column:
@@ -46,7 +52,7 @@ def unit_price() -> Column:
 
 def _trade_columns(commodity: Column, tick: Column) -> list[Column]:
     odd = F.col("o_orderkey") % 2 == 1
-    owner, maker = account(F.col("o_custkey")), account(F.col("l_suppkey"))
+    owner, maker = customer_account(F.col("o_custkey")), supplier_account(F.col("l_suppkey"))
     side = (
         F.when(F.col("o_orderstatus") == "O", "buy")
         .when(F.col("o_orderstatus") == "F", "sell")
@@ -106,7 +112,7 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = od.select(
         F.concat(F.lit("ord-"), key.cast("string"), tag).alias("order_id"),
         commodity.alias("commodity"),
-        account(F.col("o_custkey")).alias("trader_id"),
+        customer_account(F.col("o_custkey")).alias("trader_id"),
         F.when(key % 2 == 0, "buy").otherwise("sell").alias("side"),
         price.alias("price"),
         size.alias("quantity"),
@@ -145,7 +151,7 @@ def quote_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = F.filter(F.array(event("placed", F.lit(0), size), F.when(part > 0, event("partial_fill", key % 3, part)), end), lambda e: e.isNotNull())
     return od.select(
         F.concat(F.lit("q-"), key.cast("string"), tag).alias("order_id"), F.element_at(F.array(*[F.lit(r) for r in REGIONS]), (key % 5 + 1).cast("int")).alias("commodity"),
-        account(F.col("o_custkey")).alias("trader_id"), F.when(buy, "buy").otherwise("sell").alias("side"), price.alias("price"), day_tick("o_orderdate").alias("tick"), F.explode(steps).alias("e"),
+        customer_account(F.col("o_custkey")).alias("trader_id"), F.when(buy, "buy").otherwise("sell").alias("side"), price.alias("price"), day_tick("o_orderdate").alias("tick"), F.explode(steps).alias("e"),
     ).select("order_id", "commodity", "trader_id", "side", "price", F.col("e.q").alias("quantity"), (F.col("tick") + F.col("e.wait")).alias("tick"), F.col("e.event_type").alias("event_type"))
 
 
@@ -167,7 +173,7 @@ def manipulation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         persona.alias("persona"),
         start.alias("start_tick"),
         (start + 60 + key % 120).alias("end_tick"),
-        F.array(account(key), account(key * 7 + 3)).alias("trader_ids"),
+        F.array(supplier_account(key), customer_account(key * 7 + 3)).alias("trader_ids"),
         F.create_map(F.lit("realised_fake_depth_share"), (key % 10 / F.lit(10.0)).cast("string")).alias("parameters"),
     )
 
