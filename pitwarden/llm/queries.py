@@ -69,7 +69,8 @@ def op9_induced_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temperature_mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text")).drop("text")
+    mixed = temperature_mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text")).drop("text")
+    return mixed.withColumn("weight", F.floor(F.col("weight") * 1e6 + 0.5) / 1e6)
 
 
 def op11_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +102,57 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM t
 """
 
+def _hash(*parts: str) -> str:
+    return "CAST('0x' || substr(md5(concat_ws('|', " + ", ".join(parts) + ")), 1, 15) AS BIGINT)"
+
+
+def _mixing_sql(rule: temperature_mixing.MixRule) -> str:
+    """The whole mixture in SQL: shares, exponent by sections, budgets, permutations cut at the budget."""
+    entropy = "(SELECT ln(sum(pow(p, {a}))) - {a} * sum(pow(p, {a}) * ln(p)) / sum(pow(p, {a})) FROM shares)"
+    repeats = f"({rule.budget}::DOUBLE * (SELECT max(pow(p, {{a}} - 1)) / sum(pow(p, {{a}})) FROM shares))"
+    enough = {"h": f"{entropy} >= (SELECT target FROM goal)", "r": f"{repeats} > {rule.max_epochs}::DOUBLE"}
+    steps = [f"""goal AS (SELECT {entropy.format(a='1.0::DOUBLE')} + {rule.lift}::DOUBLE * (ln(count(*)) - {entropy.format(a='1.0::DOUBLE')}) AS target FROM shares)""",
+             f"""h0 AS (SELECT CASE WHEN {entropy.format(a='1.0::DOUBLE')} >= (SELECT target FROM goal) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS lo, 1.0::DOUBLE AS hi)""",
+             f"""r0 AS (SELECT CASE WHEN {repeats.format(a='0.0::DOUBLE')} <= {rule.max_epochs} THEN 0.0::DOUBLE WHEN {repeats.format(a='1.0::DOUBLE')} > {rule.max_epochs} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS lo,
+               CASE WHEN {repeats.format(a='0.0::DOUBLE')} <= {rule.max_epochs} THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS hi)"""]
+    n = rule.sections
+    for k in range(rule.passes):
+        for c, test in enough.items():
+            steps.append(f"""{c}{k + 1} AS (SELECT lo + (hi - lo) * (k - 1) / {n}.0::DOUBLE AS lo, CASE WHEN k = {n} THEN hi ELSE lo + (hi - lo) * k / {n}.0::DOUBLE END AS hi
+              FROM (SELECT lo, hi, coalesce(min(i) FILTER (WHERE NOT ok), {n}) AS k FROM (
+                SELECT lo, hi, i, {test.format(a='a')} AS ok FROM (SELECT lo, hi, i, lo + (hi - lo) * i / {n}.0::DOUBLE AS a FROM {c}{k}, range(1, {n}) AS s(i))) GROUP BY lo, hi))""")
+    last = rule.passes
+    return f"""
+WITH d AS (
+    SELECT doc_id, source, coalesce(source, '') AS src, {_hash(str(rule.seed), "'block'", "doc_id")} % {rule.blocks} AS block,
+           CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS t FROM documents
+), sources AS (
+    SELECT src, CAST(sum(t) AS BIGINT) AS tokens FROM d GROUP BY src
+), shares AS (
+    SELECT src, tokens / (SELECT sum(tokens) FROM sources)::DOUBLE AS p FROM sources WHERE tokens > 0
+), {', '.join(steps)}, expo AS (
+    SELECT CASE WHEN (SELECT count(*) FROM shares) < 2 THEN 1.0::DOUBLE ELSE greatest((SELECT lo FROM h{last}), (SELECT hi FROM r{last})) END AS a
+), weights AS (
+    SELECT s.src, s.tokens, coalesce(pow(p, a) / (SELECT sum(pow(p, a)) FROM shares), 0.0::DOUBLE) AS weight FROM sources s LEFT JOIN shares USING (src), expo
+), exact AS (
+    SELECT *, weight * ({rule.budget}::DOUBLE * (SELECT sum(tokens) FROM sources)) AS e FROM weights
+), ranked AS (
+    SELECT *, CAST(floor(e) AS BIGINT) AS f, row_number() OVER (ORDER BY tokens = 0, e - floor(e) DESC, src) AS r FROM exact
+), budgets AS (
+    SELECT src, tokens, weight, f + CASE WHEN tokens > 0 AND r <= floor({rule.budget} * (SELECT sum(tokens) FROM sources) + 0.5) - (SELECT sum(f) FROM ranked) THEN 1 ELSE 0 END AS budget FROM ranked
+), planned AS (
+    SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS epochs, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM budgets
+), placed AS (
+    SELECT d.*, weight, epoch, epochs, rest, {_hash(str(rule.seed), "'epoch'", "epoch", "d.src", "block")} AS block_rank, {_hash(str(rule.seed), "'document'", "epoch", "doc_id")} AS document_rank
+    FROM d JOIN planned USING (src), range(0, 64) AS x(epoch) WHERE epoch <= epochs
+), walked AS (
+    SELECT *, sum(t) OVER (PARTITION BY src, epoch ORDER BY block_rank, block, document_rank ROWS UNBOUNDED PRECEDING) AS run FROM placed
+)
+SELECT doc_id, source, t AS n_tokens, CAST(epoch AS INTEGER) AS epoch, CAST(block AS INTEGER) AS block, block_rank, document_rank, floor(weight * 1e6 + 0.5) / 1e6 AS weight
+FROM walked WHERE epoch < epochs OR (rest > 0 AND run <= rest)
+"""
+
+
 OP11_SQL = """
 WITH RECURSIVE able AS (
     SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -176,7 +228,7 @@ QUERIES = {q.name: q for q in (
     Query("op7_factor_machine", op7_factor_machine, None, ()),
     Query("op8_license_notices", op8_license_notices, None, ()),
     Query("op9_induced_repeats", op9_induced_repeats, None, ()),
-    Query("op10_temperature_mixing", op10_temperature_mixing, None, ()),
+    Query("op10_temperature_mixing", op10_temperature_mixing, _mixing_sql(temperature_mixing.MixRule()), ()),
     Query("op11_projection_forest", op11_projection_forest, OP11_SQL, ()),
     Query("op12_periodic_runs", op12_periodic_runs, None, ()),
     Query("op13_importance_radix", op13_importance_radix, OP13_SQL, ()),
