@@ -49,6 +49,7 @@ def test_forest_finds_the_outlier(spark):
 def test_catalog_is_complete():
     c = load_catalog()
     assert len(c) > 120
-    assert sum(q.sql is None for q in c.values()) <= 3
+    # Model fits have no SQL; tests/test_trees.py and tests/test_bar_model.py check their parts.
+    assert {q.name for q in c.values() if q.sql is None} <= {"forest_scores", "market_forest_scores", "detector_alerts", "detector_flags", "detector_cases", "bar_model_scores"}
     covered = {x for q in c.values() for x in q.covers}
     assert {f"I{i}" for i in range(1, 20)} <= covered and {f"M{i}" for i in range(1, 17)} <= covered
