@@ -13,6 +13,7 @@ from pitwarden.functions.rolling import centred, forward_sum, rolling_corr, trai
 from pitwarden.operators.lineage import spread
 
 BACK = (3, 5, 10, 15, 30)
+# Published names of the bar features, in their order.
 FEATURES = (
     "ret_z_1", "ret_z_back_5", "ret_z_back_15", "ret_z_fwd_5", "ret_z_fwd_15", "range_ratio", "range_ratio_5",
     "vol_z", "vol_ratio_5", "vol_ratio_15", "body_share", "wick_share_5", "vol_per_move", "drawup_z_15",

@@ -187,39 +187,38 @@ def prediction_summary(scores: DataFrame, personas: tuple[str, ...]) -> DataFram
 
 
 # Recurring scheduled events. days: 0 = Monday.
-WEEK = "0,1,2,3,4"
+WEEK = (0, 1, 2, 3, 4)
 NEW_YORK, LONDON = "America/New_York", "Europe/London"
 CALENDAR = (
-    ("US economic data releases (8:30 ET)", 8, 30, NEW_YORK, "all", WEEK, "scheduled release", "possible"),
-    ("US economic data releases (10:00 ET)", 10, 0, NEW_YORK, "all", WEEK, "scheduled release", "possible"),
-    ("FOMC statement window (14:00 ET)", 14, 0, NEW_YORK, "all", WEEK, "scheduled release", "possible"),
-    ("Daily Globex halt starts (17:00 ET)", 17, 0, NEW_YORK, "all", WEEK, "session", "fixed"),
-    ("Globex reopen, thin liquidity (18:00 ET)", 18, 0, NEW_YORK, "all", "6,0,1,2,3", "session", "fixed"),
-    ("NYMEX energy day session open", 9, 0, NEW_YORK, "energy", WEEK, "session", "fixed"),
-    ("EIA weekly petroleum status report", 10, 30, NEW_YORK, "crude_oil_wti,brent_crude", "2", "scheduled release", "fixed"),
-    ("EIA weekly natural gas storage report", 10, 30, NEW_YORK, "natural_gas", "3", "scheduled release", "fixed"),
-    ("API weekly crude inventory", 16, 30, NEW_YORK, "crude_oil_wti,brent_crude", "1", "scheduled release", "fixed"),
-    ("NYMEX energy settlement window", 14, 28, NEW_YORK, "energy", WEEK, "settlement", "fixed"),
-    ("COMEX metals day session open", 8, 20, NEW_YORK, "metals", WEEK, "session", "fixed"),
-    ("LBMA gold price (AM auction)", 10, 30, LONDON, "gold", WEEK, "benchmark fix", "fixed"),
-    ("LBMA gold price (PM auction)", 15, 0, LONDON, "gold", WEEK, "benchmark fix", "fixed"),
-    ("LBMA silver price auction", 12, 0, LONDON, "silver", WEEK, "benchmark fix", "fixed"),
-    ("COMEX copper settlement window", 12, 58, NEW_YORK, "copper", WEEK, "settlement", "fixed"),
-    ("COMEX silver settlement window", 13, 24, NEW_YORK, "silver", WEEK, "settlement", "fixed"),
-    ("COMEX gold settlement window", 13, 29, NEW_YORK, "gold", WEEK, "settlement", "fixed"),
-    ("CBOT grains day session open", 9, 30, NEW_YORK, "grains", WEEK, "session", "fixed"),
-    ("USDA reports (12:00 ET, e.g. WASDE)", 12, 0, NEW_YORK, "grains", WEEK, "scheduled release", "possible"),
-    ("CBOT grains close and settlement", 14, 14, NEW_YORK, "grains", WEEK, "settlement", "fixed"),
-    ("USDA crop progress (Mondays 16:00 ET)", 16, 0, NEW_YORK, "grains", "0", "scheduled release", "fixed"),
+    ("US economic data releases (8:30 ET)", 8, 30, NEW_YORK, ("all",), WEEK, "scheduled release", "possible"),
+    ("US economic data releases (10:00 ET)", 10, 0, NEW_YORK, ("all",), WEEK, "scheduled release", "possible"),
+    ("FOMC statement window (14:00 ET)", 14, 0, NEW_YORK, ("all",), WEEK, "scheduled release", "possible"),
+    ("Daily Globex halt starts (17:00 ET)", 17, 0, NEW_YORK, ("all",), WEEK, "session", "fixed"),
+    ("Globex reopen, thin liquidity (18:00 ET)", 18, 0, NEW_YORK, ("all",), (6, 0, 1, 2, 3), "session", "fixed"),
+    ("NYMEX energy day session open", 9, 0, NEW_YORK, ("energy",), WEEK, "session", "fixed"),
+    ("EIA weekly petroleum status report", 10, 30, NEW_YORK, ("crude_oil_wti", "brent_crude"), (2,), "scheduled release", "fixed"),
+    ("EIA weekly natural gas storage report", 10, 30, NEW_YORK, ("natural_gas",), (3,), "scheduled release", "fixed"),
+    ("API weekly crude inventory", 16, 30, NEW_YORK, ("crude_oil_wti", "brent_crude"), (1,), "scheduled release", "fixed"),
+    ("NYMEX energy settlement window", 14, 28, NEW_YORK, ("energy",), WEEK, "settlement", "fixed"),
+    ("COMEX metals day session open", 8, 20, NEW_YORK, ("metals",), WEEK, "session", "fixed"),
+    ("LBMA gold price (AM auction)", 10, 30, LONDON, ("gold",), WEEK, "benchmark fix", "fixed"),
+    ("LBMA gold price (PM auction)", 15, 0, LONDON, ("gold",), WEEK, "benchmark fix", "fixed"),
+    ("LBMA silver price auction", 12, 0, LONDON, ("silver",), WEEK, "benchmark fix", "fixed"),
+    ("COMEX copper settlement window", 12, 58, NEW_YORK, ("copper",), WEEK, "settlement", "fixed"),
+    ("COMEX silver settlement window", 13, 24, NEW_YORK, ("silver",), WEEK, "settlement", "fixed"),
+    ("COMEX gold settlement window", 13, 29, NEW_YORK, ("gold",), WEEK, "settlement", "fixed"),
+    ("CBOT grains day session open", 9, 30, NEW_YORK, ("grains",), WEEK, "session", "fixed"),
+    ("USDA reports (12:00 ET, e.g. WASDE)", 12, 0, NEW_YORK, ("grains",), WEEK, "scheduled release", "possible"),
+    ("CBOT grains close and settlement", 14, 14, NEW_YORK, ("grains",), WEEK, "settlement", "fixed"),
+    ("USDA crop progress (Mondays 16:00 ET)", 16, 0, NEW_YORK, ("grains",), (0,), "scheduled release", "fixed"),
 )
 BEFORE_MIN, AFTER_MIN = 3, 15
 
 
 def calendar(spark: SparkSession) -> DataFrame:
     """The 21 recurring events, one row per event and scope."""
-    schema = "event string, hour int, minute int, tz string, scope string, days string, kind string, certainty string"
-    rows = spark.createDataFrame(list(CALENDAR), schema)
-    return rows.withColumns({"scope": F.explode(F.split("scope", ",")), "days": F.transform(F.split("days", ","), lambda d: d.cast("int"))})
+    schema = "event string, hour int, minute int, tz string, scope array<string>, days array<int>, kind string, certainty string"
+    return spark.createDataFrame(list(CALENDAR), schema).withColumn("scope", F.explode("scope"))
 
 
 def scheduled_events(windows: DataFrame, cal: DataFrame, sectors: DataFrame) -> DataFrame:

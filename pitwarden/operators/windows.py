@@ -35,6 +35,7 @@ def add_span(df: DataFrame, cfg: FeatureConfig) -> DataFrame:
     })
 
 
+# Published names of the market and account features, in their order (also BEHAVIOUR_FEATURES).
 MARKET_FEATURES = (
     "mkt_volume", "mkt_trades", "mkt_return_bp", "mkt_volatility_bp", "mkt_range_bp", "mkt_volume_spike",
     "mkt_trade_imbalance", "mkt_order_imbalance", "mkt_cancel_ratio", "mkt_abnormal_return_z",

@@ -10,6 +10,7 @@ from pitwarden.operators.lineage import cut
 from pitwarden.plans.labelling import LABEL_CTES, episodes, scored, span_labels
 from pitwarden.plans.mechanism import SCORES, minute_scores
 from pitwarden.plans import bar_sql as bs
+from pitwarden.plans.alerts import RESULT_CTES, results
 from pitwarden.plans.registry import query
 from pitwarden.plans.shaping import r, rounded
 from pitwarden.plans.sql import SCORED, TRADES, with_ctes
@@ -50,6 +51,14 @@ def importance_drift(spark, sf_dir):
     return rounded(sc.importance_drift(imp.filter("early"), imp.filter("NOT early")))
 
 
+@query("attribution_share", with_ctes(*RESULT_CTES, RANGES, ATTR) + f"""SELECT feature, {r('sum(abs(value)) / any_value(total)')} AS share
+FROM topk JOIN results USING (commodity, window_start, trader_id), (SELECT sum(abs(value)) AS total FROM topk JOIN results USING (commodity, window_start, trader_id) WHERE final_flag) WHERE final_flag GROUP BY feature""", "M16")
+def attribution_share(spark, sf_dir):
+    """What the alerted windows were told apart by, over all of them."""
+    flags = results(spark, sf_dir).select(*KEYS, "final_flag").join(attributions(spark, sf_dir).select(*KEYS, "top_features"), KEYS)
+    return rounded(cs.attribution_mix(flags, "top_features"))
+
+
 def labelled(spark, sf_dir):
     return scored(spark, sf_dir).join(span_labels(spark, sf_dir).drop("window_end"), KEYS)
 

@@ -133,7 +133,7 @@ def verdict_counts(spark, sf_dir):
 
 
 _CAL = ", ".join(
-    f"('{e}', {h}, {m}, '{tz}', '{s}', [{d}], '{k}', '{c}')" for e, h, m, tz, scopes, d, k, c in me.CALENDAR for s in scopes.split(","))
+    f"('{e}', {h}, {m}, '{tz}', '{s}', {list(d)}, '{k}', '{c}')" for e, h, m, tz, scopes, d, k, c in me.CALENDAR for s in scopes)
 NAMES = "CASE CAST(CAST(c.segment AS BIGINT) + length(c.commodity) + start_minute AS BIGINT) % 4 WHEN 0 THEN 'gold' WHEN 1 THEN 'crude_oil_wti' WHEN 2 THEN 'wheat' ELSE 'natural_gas' END"
 CAL_SQL = f"""cal AS (SELECT * FROM (VALUES {_CAL}) t(event, hour, minute, tz, scope, days, kind, certainty)),
 cw AS (SELECT c.commodity || '~' || start_minute AS window_id, 1790000000 + start_minute * 1800 AS su, 1790000000 + end_minute * 1800 + 60 AS eu, {NAMES} AS name FROM mcases c),
