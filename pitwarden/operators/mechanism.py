@@ -21,38 +21,84 @@ RULES = {
 VERDICTS = ("consistent", "consistent (unverifiable)", "partial", "likely benign", "not consistent", "insufficient data")
 
 
-def _window_rows(windows: DataFrame, bars: DataFrame, own: bool) -> DataFrame:
-    """Bars around each window: 60 minutes before to 30 after, of its own or of every commodity."""
-    w = Window.partitionBy("commodity").orderBy("minute")
-    b = bars.select("commodity", "minute", "open", "high", "low", "close", "volume", F.lag("minute").over(w).alias("prev"),
-                    ((F.ln("close") - F.ln(F.lag("close").over(w))) * 1e4).alias("r"))
-    at = windows.select("window_id", F.col("commodity").alias("home"), "start", "end",
-                        F.explode(F.sequence(F.col("start") - PRE, F.col("end") + POST)).alias("minute"))
-    j = at.join(b, "minute")
-    if own:
-        j = j.filter("commodity = home")
+HOUR = 60  # minutes of one block of bars
+
+
+def _own_rows(windows: DataFrame, bars: DataFrame) -> DataFrame:
+    """A window's own bars from 60 minutes before to 30 after, each with its zone."""
+    at = windows.select("window_id", "commodity", "start", "end", F.explode(F.sequence(F.col("start") - PRE, F.col("end") + POST)).alias("minute"))
     zone = F.when(F.col("minute") < F.col("start"), "pre").when(F.col("minute") <= F.col("end"), "win").otherwise("post")
-    return j.withColumn("zone", zone)
+    return at.join(bars.select("commodity", "minute", "open", "high", "low", "close", "volume"), ["commodity", "minute"]).withColumn("zone", zone)
+
+
+def hour_blocks(bars: DataFrame) -> DataFrame:
+    """(commodity, hour) -> its bars in time order, each with the minute of the bar before it and the return since.
+
+    A block holds at most 60 bars. Only the last bar of each block is carried to the next one, so a commodity's whole
+    history never passes through one window frame.
+    """
+    hour = F.floor(F.col("minute") / HOUR)
+    blocks = bars.groupBy("commodity", hour.alias("hour")).agg(F.sort_array(F.collect_list(F.struct("minute", "open", "close"))).alias("bars"))
+    ends = blocks.select("commodity", "hour", F.element_at("bars", -1).alias("last"))
+    before = F.lag("last").over(Window.partitionBy("commodity").orderBy("hour"))
+    linked = blocks.join(ends.select("commodity", "hour", before.alias("before")), ["commodity", "hour"])
+
+    def returns(bar: Column, i: Column) -> Column:
+        prev = F.when(i == 0, F.col("before")).otherwise(F.get("bars", i - 1))
+        return F.struct(bar["minute"].alias("minute"), bar["open"].alias("open"), bar["close"].alias("close"), prev["minute"].alias("prev"),
+                        ((F.ln(bar["close"]) - F.ln(prev["close"])) * 1e4).alias("r"))
+
+    return linked.select("commodity", "hour", F.transform("bars", returns).alias("bars"))
+
+
+def _spread(values: Column) -> tuple[Column, Column, Column]:
+    """Count, sum and sum of squares of an array."""
+    zero = F.lit(0.0)
+    return F.size(values), F.aggregate(values, zero, lambda a, x: a + x), F.aggregate(values, zero, lambda a, x: a + x * x)
+
+
+def _sd(n: str, total: str, squares: str) -> Column:
+    """Sample deviation from count, sum and sum of squares; missing below two values."""
+    rest = F.col(squares) - F.col(total) * F.col(total) / F.col(n)
+    return F.when(F.col(n) > 1, F.sqrt(F.greatest(rest, F.lit(0.0)) / (F.col(n) - 1)))
 
 
 def moves(windows: DataFrame, bars: DataFrame) -> DataFrame:
-    """Per (window, commodity): reference price, volatility, move and its z-score."""
-    rows = _window_rows(windows, bars, own=False).filter("zone <> 'post'")
-    pre, win = F.col("zone") == "pre", F.col("zone") == "win"
-    inner_pre = pre & (F.col("prev") >= F.col("start") - PRE)
-    inner_win = win & (F.col("prev") >= F.col("start"))
-    g = rows.groupBy("window_id", "home", "start", "end", "commodity").agg(
-        F.count_if(win).alias("n"), F.count_if(pre).alias("pre_bars"),
-        F.max_by(F.when(pre, F.col("close")), F.when(pre, F.col("minute"))).alias("pre_close"),
-        F.min_by(F.when(win, F.col("open")), F.when(win, F.col("minute"))).alias("win_open"),
-        F.max_by(F.when(win, F.col("close")), F.when(win, F.col("minute"))).alias("win_close"),
-        F.count(F.when(inner_pre, F.col("r"))).alias("n_pre"), F.stddev_samp(F.when(inner_pre, F.col("r"))).alias("sd_pre"),
-        F.stddev_samp(F.when(inner_win, F.col("r"))).alias("sd_win"),
+    """Per (window, commodity): reference price, volatility, move and its z-score.
+
+    A window meets every commodity, as each may be its peer, through the hours it touches: rows are windows x
+    commodities x hours, not minutes. Windows without a bar of a commodity have no row for it.
+    """
+    hours = F.sequence(F.floor((F.col("start") - PRE) / HOUR), F.floor(F.col("end") / HOUR))
+    asked = windows.select("window_id", F.col("commodity").alias("home"), "start", "end", F.explode(hours).alias("hour"))
+    j = asked.join(hour_blocks(bars), "hour")
+    lo, start, end = F.col("start") - PRE, F.col("start"), F.col("end")
+    j = j.select(
+        "window_id", "home", "start", "end", "commodity",
+        F.filter("bars", lambda b: (b["minute"] >= lo) & (b["minute"] < start)).alias("pre"),
+        F.filter("bars", lambda b: (b["minute"] >= start) & (b["minute"] <= end)).alias("win"),
+    ).filter((F.size("pre") > 0) | (F.size("win") > 0))
+
+    def inner(zone: str, since: Column) -> Column:
+        return F.transform(F.filter(zone, lambda b: (b["prev"] >= since) & b["r"].isNotNull()), lambda b: b["r"])
+
+    parts = {}
+    for zone, since in (("pre", lo), ("win", start)):
+        parts |= dict(zip((f"n_{zone}", f"sum_{zone}", f"sq_{zone}"), _spread(inner(zone, since))))
+    pre_last, win_first, win_last = F.get("pre", F.size("pre") - 1), F.get("win", F.lit(0)), F.get("win", F.size("win") - 1)
+    g = j.select(
+        "window_id", "home", "start", "end", "commodity", F.size("win").alias("n"), F.size("pre").alias("pre_bars"), pre_last.alias("pre_last"),
+        win_first.alias("win_first"), win_last.alias("win_last"), *[v.alias(k) for k, v in parts.items()],
+    ).groupBy("window_id", "home", "start", "end", "commodity").agg(
+        *[F.sum(c).alias(c) for c in ("n", "pre_bars", *parts)],
+        F.max_by("pre_last", F.col("pre_last.minute"))["close"].alias("pre_close"),
+        F.min_by("win_first", F.col("win_first.minute"))["open"].alias("win_open"),
+        F.max_by("win_last", F.col("win_last.minute"))["close"].alias("win_close"),
     ).filter("n > 0")
-    sd = F.when(F.col("n_pre") > 5, F.col("sd_pre")).otherwise(F.col("sd_win"))
-    g = g.withColumns({"ref": F.coalesce("pre_close", "win_open"), "sigma": F.when(sd.isNotNull(), F.greatest(sd, F.lit(SIGMA_FLOOR_BP)))})
-    g = g.withColumn("move_bp", F.ln(F.col("win_close") / F.col("ref")) * 1e4)
-    return g.withColumn("move_z", F.col("move_bp") / (F.col("sigma") * F.sqrt(F.col("n").cast("double"))))
+    sd = F.when(F.col("n_pre") > 5, _sd("n_pre", "sum_pre", "sq_pre")).otherwise(_sd("n_win", "sum_win", "sq_win"))
+    g = g.withColumns({"ref": F.coalesce("pre_close", "win_open"), "sd": sd})
+    g = g.withColumns({"sigma": F.when(F.col("sd").isNotNull(), F.greatest("sd", F.lit(SIGMA_FLOOR_BP))), "move_bp": F.ln(F.col("win_close") / F.col("ref")) * 1e4})
+    return g.drop("sd", *parts).withColumn("move_z", F.col("move_bp") / (F.col("sigma") * F.sqrt(F.col("n").cast("double"))))
 
 
 def comovers(moved: DataFrame, sectors: DataFrame, comove_z: float = RULES["comove_z"]) -> DataFrame:
@@ -71,7 +117,7 @@ def comovers(moved: DataFrame, sectors: DataFrame, comove_z: float = RULES["como
 def evidence(windows: DataFrame, bars: DataFrame, moved: DataFrame, peers: DataFrame) -> DataFrame:
     """Measured numbers of each window: excursion, retracement, give-back, volume, range, wicks."""
     own = moved.filter("commodity = home").select("window_id", "ref", "sigma", "n", "pre_bars", "move_bp", "move_z", "win_close")
-    rows = _window_rows(windows, bars, own=True).join(own, "window_id")
+    rows = _own_rows(windows, bars).join(own, "window_id")
     pre, win, post = (F.col("zone") == z for z in ("pre", "win", "post"))
     order = Window.partitionBy("window_id", "zone").orderBy("minute")
     span = F.col("high") - F.col("low")
@@ -172,10 +218,28 @@ def check(ev: DataFrame, rules: dict[str, float] | None = None) -> DataFrame:
     return out.withColumn("best_match", F.array_min(F.array(*ranked))["p"])
 
 
-def mechanism_checks(windows: DataFrame, bars: DataFrame, sectors: DataFrame) -> DataFrame:
-    """Evidence and verdicts of all windows (window_id, commodity, start, end minutes)."""
+def event_counts(events: DataFrame) -> DataFrame:
+    """(window_id) -> scheduled events in its span, by certainty."""
+    n = [F.count_if(F.col("certainty") == c).alias(f"{c}_events") for c in ("fixed", "possible")]
+    return events.groupBy("window_id").agg(*n)
+
+
+def mechanism_checks(windows: DataFrame, bars: DataFrame, sectors: DataFrame, events: DataFrame | None = None, rules: dict[str, float] | None = None) -> DataFrame:
+    """Evidence and verdicts of all windows (window_id, commodity, start, end minutes).
+
+    ``events``: rows of ``scheduled_events`` for the same windows, when their times are real. A window without a bar of
+    its commodity has insufficient data for every persona, confidence 0 and no best match.
+    """
     moved = moves(windows, bars)
-    return check(evidence(windows, bars, moved, comovers(moved, sectors)))
+    ev = evidence(windows, bars, moved, comovers(moved, sectors))
+    counts = ["fixed_events", "possible_events"]
+    if events is not None:
+        ev = ev.join(event_counts(events), "window_id", "left").fillna(0, counts)
+    judged = windows.select("window_id", "commodity", "start", "end").join(check(ev, rules), "window_id", "left")
+    verdicts = [c for c in judged.columns if c.startswith("verdict_")]
+    filled = {v: F.coalesce(v, F.lit("insufficient data")) for v in verdicts}
+    filled |= {c: F.coalesce(c, F.lit(0.0)) for c in (v.replace("verdict", "confidence") for v in verdicts)}
+    return judged.withColumn("available", F.col("minutes").isNotNull()).withColumns(filled)
 
 
 def prediction_summary(scores: DataFrame, personas: tuple[str, ...]) -> DataFrame:

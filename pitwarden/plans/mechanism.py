@@ -51,8 +51,8 @@ def prediction_summary(spark, sf_dir):
     return me.prediction_summary(minute_scores(spark, sf_dir)[1], PERSONAS)
 
 
-WINDOWS = """wins AS (SELECT commodity || '~' || start_minute AS window_id, commodity AS home, start_minute AS s, end_minute AS e FROM mcases),
-b1 AS (SELECT *, lag(minute) OVER w AS prev, (ln(close) - ln(lag(close) OVER w)) * 1e4 AS r FROM bars WINDOW w AS (PARTITION BY commodity ORDER BY minute)),
+FLAGGED = "wins AS (SELECT commodity || '~' || start_minute AS window_id, commodity AS home, start_minute AS s, end_minute AS e FROM mcases)"
+MEASURES = """b1 AS (SELECT *, lag(minute) OVER w AS prev, (ln(close) - ln(lag(close) OVER w)) * 1e4 AS r FROM bars WINDOW w AS (PARTITION BY commodity ORDER BY minute)),
 wr AS (SELECT w.*, b.*, CASE WHEN minute < s THEN 'pre' WHEN minute <= e THEN 'win' ELSE 'post' END AS zone FROM wins w JOIN b1 b ON b.minute BETWEEN s - 60 AND e + 30),
 mv0 AS (SELECT window_id, home, s, e, commodity, count(*) FILTER (WHERE zone = 'win') AS n, count(*) FILTER (WHERE zone = 'pre') AS pre_bars,
   arg_max(close, minute) FILTER (WHERE zone = 'pre') AS pc, arg_min(open, minute) FILTER (WHERE zone = 'win') AS wo, arg_max(close, minute) FILTER (WHERE zone = 'win') AS win_close,
@@ -78,7 +78,7 @@ ev AS (SELECT ev1.window_id, n AS minutes, pre_bars, post_bars, round(sigma, 2)
   CASE WHEN abs(move_z) >= 1 AND pm IS NOT NULL THEN round(greatest(least(-pm / move_bp, 3.0), -3.0) * 100, 0) END AS giveback_pct, round(vw / vb, 2) AS volume_ratio, round(vp / vb, 2) AS volume_ratio_after, round(rw / rb, 2) AS range_ratio,
   round(wk, 2) AS wick_share, round(zw, 2) AS zero_volume_share, round(zp, 2) AS zero_volume_share_before, coalesce(n_comoving, 0) AS n_comoving, coalesce(n_comoving_same_sector, 0) AS n_comoving_same_sector
   FROM ev1 LEFT JOIN peer USING (window_id))"""
-EV_CTES = [*CASE_CTES, WINDOWS]
+EV_CTES = [*CASE_CTES, FLAGGED, MEASURES]
 
 
 def windows_and_bars(spark, sf_dir):
@@ -134,6 +134,7 @@ def verdict_counts(spark, sf_dir):
 
 _CAL = ", ".join(
     f"('{e}', {h}, {m}, '{tz}', '{s}', {list(d)}, '{k}', '{c}')" for e, h, m, tz, scopes, d, k, c in me.CALENDAR for s in scopes)
+NAMED_SECTORS = [("gold", "metals"), ("crude_oil_wti", "energy"), ("wheat", "grains"), ("natural_gas", "energy")]
 NAMES = "CASE CAST(CAST(c.segment AS BIGINT) + length(c.commodity) + start_minute AS BIGINT) % 4 WHEN 0 THEN 'gold' WHEN 1 THEN 'crude_oil_wti' WHEN 2 THEN 'wheat' ELSE 'natural_gas' END"
 CAL_SQL = f"""cal AS (SELECT * FROM (VALUES {_CAL}) t(event, hour, minute, tz, scope, days, kind, certainty)),
 cw AS (SELECT c.commodity || '~' || start_minute AS window_id, 1790000000 + start_minute * 1800 AS su, 1790000000 + end_minute * 1800 + 60 AS eu, {NAMES} AS name FROM mcases c),
@@ -149,5 +150,44 @@ def scheduled_events(spark, sf_dir):
     name = F.when(slot == 0, "gold").when(slot == 1, "crude_oil_wti").when(slot == 2, "wheat").otherwise("natural_gas")
     w = c.select(F.concat_ws("~", "commodity", F.col("start_minute").cast("string")).alias("window_id"), name.alias("commodity"),
                  (F.lit(1790000000).cast("long") + F.col("start_minute") * 1800).alias("start_utc"), (F.lit(1790000060).cast("long") + F.col("end_minute") * 1800).alias("end_utc"))
-    sectors = spark.createDataFrame([("gold", "metals"), ("crude_oil_wti", "energy"), ("wheat", "grains"), ("natural_gas", "energy")], "commodity string, sector string")
-    return me.scheduled_events(w, me.calendar(spark), sectors)
+    return me.scheduled_events(w, me.calendar(spark), spark.createDataFrame(NAMED_SECTORS, "commodity string, sector string"))
+
+
+# Windows of the verdicts: the flagged ones and the half hours before a commodity's first bar and after its last, without bars to judge.
+EDGES = "edges AS (SELECT commodity, min(minute) - 30 AS s, min(minute) - 1 AS e FROM bars GROUP BY 1 UNION ALL SELECT commodity, max(minute) + 1, max(minute) + 30 FROM bars GROUP BY 1)"
+JUDGED = """wins AS (SELECT commodity || '~' || start_minute AS window_id, commodity AS home, start_minute AS s, end_minute AS e FROM mcases
+  UNION ALL SELECT commodity || '~' || s || '~edge', commodity, s, e FROM edges)"""
+COUNTS = """ec AS (SELECT window_id, count(*) FILTER (WHERE certainty = 'fixed') AS fixed_events, count(*) FILTER (WHERE certainty = 'possible') AS possible_events
+  FROM (SELECT DISTINCT window_id, event, certainty, at_s FROM ca WHERE at_s - 180 <= eu AND at_s + 900 >= su) GROUP BY 1),
+evx AS (SELECT ev.*, coalesce(fixed_events, 0) AS fixed_events, coalesce(possible_events, 0) AS possible_events FROM ev LEFT JOIN ec USING (window_id))"""
+_TOGETHER = "(n_comoving_same_sector >= 1 OR n_comoving >= 2)"
+EVENT_CHECKS = CHECKS.replace(f"{_TOGETHER} AS hard", f"(fixed_events > 0 OR {_TOGETHER}) AS hard").replace(
+    "(n_comoving_same_sector >= 1 OR n_comoving >= 2 OR coalesce", "(fixed_events > 0 OR possible_events > 0 OR n_comoving_same_sector >= 1 OR n_comoving >= 2 OR coalesce").replace("FROM ev)", "FROM evx)")
+REAL_TIME = CAL_SQL.replace("""cw AS (SELECT c.commodity || '~' || start_minute AS window_id, 1790000000 + start_minute * 1800 AS su, 1790000000 + end_minute * 1800 + 60 AS eu""",
+                            "cw AS (SELECT window_id, 1790000000 + s * 1800 AS su, 1790000000 + e * 1800 + 60 AS eu").replace(f"{NAMES} AS name FROM mcases c", f"{NAMES.replace('CAST(c.segment AS BIGINT) + length(c.commodity) + start_minute', 'length(home) + s')} AS name FROM wins")
+_benign = """concat_ws('; ', CASE WHEN fixed_events > 0 THEN 'scheduled event' END, CASE WHEN possible_events > 0 THEN 'usual release window' END,
+  CASE WHEN n_comoving_same_sector >= 1 OR n_comoving >= 2 THEN 'moved with other commodities' END, CASE WHEN coalesce(zero_volume_share, 0) >= 0.3 THEN 'thin market' END)"""
+
+
+@query("mechanism_verdicts", with_ctes(*CASE_CTES, EDGES, JUDGED, MEASURES, REAL_TIME, COUNTS, EVENT_CHECKS) + f"""SELECT w.window_id, ck.window_id IS NOT NULL AS available, fixed_events, possible_events,
+  CASE WHEN ck.window_id IS NOT NULL THEN {_benign} END AS benign, hard AS hard_benign, {', '.join(f"coalesce(verdict_{p}, 'insufficient data') AS verdict_{p}, coalesce(confidence_{p}, 0.0) AS confidence_{p}" for p in _T)},
+  CASE WHEN ck.window_id IS NOT NULL THEN {_best} END AS best_match FROM wins w LEFT JOIN ck ON ck.window_id = w.window_id""", "Q4 Q5 Q6 C15 C19")
+def mechanism_verdicts(spark, sf_dir):
+    flagged, bars, sectors = windows_and_bars(spark, sf_dir)
+    span = bars.groupBy("commodity").agg(F.min("minute").alias("first"), F.max("minute").alias("last"))
+    sides = F.array(F.struct((F.col("first") - 30).alias("start"), (F.col("first") - 1).alias("end")),
+                    F.struct((F.col("last") + 1).alias("start"), (F.col("last") + 30).alias("end")))
+    edges = span.select("commodity", F.explode(sides).alias("x")).select(
+        F.concat_ws("~", "commodity", F.col("x.start").cast("string"), F.lit("edge")).alias("window_id"), "commodity", "x.start", "x.end")
+    w = cut(flagged.unionByName(edges))
+    out = me.mechanism_checks(w, bars, sectors, _events_of(spark, w))
+    return out.select("window_id", "available", "fixed_events", "possible_events", "benign", "hard_benign", *CHECK_COLS, "best_match")
+
+
+def _events_of(spark, windows):
+    """Scheduled events of windows whose minutes are read as half hours and whose commodities as four well-known ones."""
+    slot = (F.length("commodity") + F.col("start")) % 4
+    name = F.when(slot == 0, "gold").when(slot == 1, "crude_oil_wti").when(slot == 2, "wheat").otherwise("natural_gas")
+    w = windows.select("window_id", name.alias("commodity"), (F.lit(1790000000).cast("long") + F.col("start") * 1800).alias("start_utc"),
+                       (F.lit(1790000060).cast("long") + F.col("end") * 1800).alias("end_utc"))
+    return me.scheduled_events(w, me.calendar(spark), spark.createDataFrame(NAMED_SECTORS, "commodity string, sector string"))

@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,48 @@ def test_planted_pump_and_volume_burst(spark):
     assert r["v"]["verdict_wash_trading"] == "consistent (unverifiable)"
 
 
+def test_moves_with_holes_match_the_definition(spark):
+    rng = np.random.default_rng(5)
+    at = {c: np.sort(rng.choice(400, 230, replace=False)) for c in ("gold", "corn", "oil")}
+    rows = [(c, int(m), float(p), float(p) * 1.01, float(p) * 0.99, float(p) + 0.1, 10.0) for c, ms in at.items() for m, p in zip(ms, 50 + rng.random(230))]
+    cols = ["commodity", "minute", "open", "high", "low", "close", "volume"]
+    spans = [(f"w{i}", c, int(s), int(s + n)) for i, (c, s, n) in enumerate(zip(rng.choice(list(at), 40), rng.integers(-80, 460, 40), rng.integers(0, 130, 40)))]
+    w = spark.createDataFrame(spans, "window_id string, commodity string, start long, end long")
+    got = {(r["window_id"], r["commodity"]): r for r in me.moves(w, spark.createDataFrame(rows, "commodity string, minute long, open double, high double, low double, close double, volume double")).collect()}
+    frame, wanted = pd.DataFrame(rows, columns=cols).set_index("minute"), {}
+    for wid, _, s, e in spans:
+        for c in at:
+            b = frame[frame["commodity"] == c]
+            pre, win = b.loc[s - 60:s - 1], b.loc[s:e]
+            if len(win):
+                ret = [(np.log(x["close"]).diff().dropna() * 1e4) for x in (pre, win)]
+                sd = ret[0].std() if len(ret[0]) > 5 else ret[1].std()
+                ref = pre["close"].iloc[-1] if len(pre) else win["open"].iloc[0]
+                move = float(np.log(win["close"].iloc[-1] / ref) * 1e4)
+                wanted[wid, c] = (len(win), len(pre), move, None if np.isnan(sd) else move / (max(sd, 0.5) * np.sqrt(len(win))))
+    assert set(got) == set(wanted) and len(got) > 60
+    for k, (n, n_pre, move, z) in wanted.items():
+        r = got[k]
+        assert (r["n"], r["pre_bars"]) == (n, n_pre) and r["move_bp"] == pytest.approx(move)
+        assert r["move_z"] is None if z is None else r["move_z"] == pytest.approx(z)
+
+
+def test_verdicts_know_the_calendar_and_missing_bars(spark):
+    at = 1791988320  # Wednesday 2026-10-14 14:32 UTC, inside the weekly petroleum report
+    rows = [("crude_oil_wti", m, 50.0, 50.0, 50.0, 50.0 + (0.5 if 70 <= m < 75 else 0.01 * (m % 2)), 100.0) for m in range(140)]
+    b = spark.createDataFrame(rows, "commodity string, minute long, open double, high double, low double, close double, volume double")
+    w = spark.createDataFrame([("bars", "crude_oil_wti", 70, 74, at, at + 240), ("none", "crude_oil_wti", 500, 505, at, at + 240), ("stranger", "tin", 70, 74, at, at)],
+                              "window_id string, commodity string, start long, end long, start_utc long, end_utc long")
+    sectors = spark.createDataFrame([("crude_oil_wti", "energy")], "commodity string, sector string")
+    events = me.scheduled_events(w.select("window_id", "commodity", "start_utc", "end_utc"), me.calendar(spark), sectors)
+    got = {r["window_id"]: r for r in me.mechanism_checks(w, b, sectors, events).collect()}
+    plain = {r["window_id"]: r for r in me.mechanism_checks(w, b, sectors).collect()}
+    assert got["bars"]["hard_benign"] and "scheduled event" in got["bars"]["benign"] and not plain["bars"]["hard_benign"]
+    for k in ("none", "stranger"):
+        assert not got[k]["available"] and got[k]["best_match"] is None
+        assert {got[k][f"verdict_{p}"] for p in PERSONAS} == {"insufficient data"} and got[k]["confidence_spoofing"] == 0.0
+
+
 def test_threshold_takes_the_plateau(spark):
     curve = [0.3] * 5 + [0.9] + [0.3] * 4 + [0.8] * 9 + [0.2] * 8
     step = 0.65 / 26
