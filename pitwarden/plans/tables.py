@@ -119,3 +119,18 @@ def stored_features(spark, sf_dir):
     tb.versioned(spark, base, lambda: daily(spark, sf_dir))
     tb.versioned(spark, base, lambda: daily(spark, sf_dir))
     return spark.read.parquet(base)
+
+
+@query("refreshed_table", with_ctes(TRADES, DAILY) + "SELECT commodity, dt AS at, close, CAST(volume AS BIGINT) AS volume FROM daily", "A13")
+def refreshed_table(spark, sf_dir):
+    """The daily table is stored for a part of its input, then read again after the rest of the input arrived."""
+    source, base = scratch(spark, "input"), scratch(spark, "derived")
+    days = daily(spark, sf_dir)
+
+    def read():
+        return tb.derived_table(spark, base, lambda: spark.read.parquet(source), [source])
+
+    days.filter("commodity < 'B'").write.parquet(source)
+    read()
+    days.filter("commodity >= 'B'").write.mode("append").parquet(source)
+    return read()

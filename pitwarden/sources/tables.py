@@ -146,6 +146,58 @@ def versioned(spark: SparkSession, base: str, build, version: int = FEATURE_VERS
     return spark.read.parquet(path)
 
 
+def input_state(spark: SparkSession, *paths: str) -> str:
+    """Digest of the files below ``paths``: number, bytes, newest change and a sum of hashes of path, size and time.
+
+    Spark lists the files; their content is not read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).select("path", "length", "modificationTime")
+    mark = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    r = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size"), F.max("modificationTime").alias("at"), F.sum(mark).alias("mark")).first()
+    return f"{r['n']} {r['size'] or 0} {r['at']} {r['mark'] or 0}"
+
+
+def derived_table(spark: SparkSession, base: str, build, inputs: list[str], version: int = FEATURE_VERSION) -> DataFrame:
+    """A table derived from stored ``inputs``, rebuilt when a file of theirs is added, gone or changed, or on a new ``version``.
+
+    Each build writes a copy of its own and then one row into ``base/_builds``: version, input state and copy. The row of
+    the newest finished build with the present version and state is the pointer to the copy, so nothing is renamed (safe
+    on object stores), a reader keeps the copy it opened, and a build that dies leaves no row. The state is taken before
+    the build reads: a change during a build makes its copy stale, not wrong. Old copies stay until ``drop_stale``.
+    """
+    state, log = input_state(spark, *inputs), f"{base}/_builds"
+    row = _newest_build(spark, log, state, version)
+    if row is not None and table_exists(spark, row["copy"]):
+        return spark.read.parquet(row["copy"])
+    copy = f"{base}/copies/{uuid.uuid4().hex}"
+    build().write.parquet(copy)
+    now = F.current_timestamp().alias("built_at")
+    spark.range(1).select(F.lit(version).alias("version"), F.lit(state).alias("state"), F.lit(copy).alias("copy"), now).coalesce(1).write.mode("append").parquet(log)
+    return spark.read.parquet(copy)
+
+
+def builds(spark: SparkSession, base: str) -> DataFrame:
+    """All finished builds of a derived table."""
+    return spark.read.schema("version int, state string, copy string, built_at timestamp").parquet(f"{base}/_builds")
+
+
+def _newest_build(spark: SparkSession, log: str, state: str, version: int):
+    fs, p = _fs(spark, log)
+    if not fs.exists(p):
+        return None
+    mine = builds(spark, log.removesuffix("/_builds")).filter((F.col("version") == version) & (F.col("state") == state))
+    return mine.orderBy(F.desc("built_at"), "copy").limit(1).first()
+
+
+def drop_stale(spark: SparkSession, base: str, keep: str) -> int:
+    """Delete the copies of a derived table other than the folder ``keep``; returns how many went."""
+    fs, p = _fs(spark, f"{base}/copies")
+    gone = [f.getPath() for f in fs.listStatus(p) if f.getPath().getName() != keep.rstrip("/").rsplit("/", 1)[-1]]
+    for path in gone:
+        fs.delete(path, True)
+    return len(gone)
+
+
 def market_of(flags: DataFrame, ranges: DataFrame) -> DataFrame:
     """Market of each alert by tick range (market, lo, hi); ranges of one commodity do not overlap."""
     from pitwarden.operators.ranges import overlap_join

@@ -53,3 +53,33 @@ def test_catalog_is_complete():
     assert {q.name for q in c.values() if q.sql is None} <= {"forest_scores", "market_forest_scores", "detector_alerts", "detector_flags", "detector_cases", "bar_model_scores"}
     covered = {x for q in c.values() for x in q.covers}
     assert {f"I{i}" for i in range(1, 20)} <= covered and {f"M{i}" for i in range(1, 17)} <= covered
+
+
+def test_derived_table_follows_its_input(spark, tmp_path):
+    source, base, built = str(tmp_path / "in"), str(tmp_path / "out"), []
+
+    def read(version=1):
+        def build():
+            built.append(version)
+            return spark.read.parquet(source)
+        return tb.derived_table(spark, base, build, [source], version)
+
+    spark.range(3).write.parquet(source)
+    first = read()
+    assert read().count() == 3 and built == [1]
+    spark.range(3, 5).write.mode("append").parquet(source)
+    assert read().count() == 5 and built == [1, 1]
+    assert first.count() == 3  # an open copy stays readable
+    assert read(version=2).count() == 5 and built == [1, 1, 2]
+    assert read(version=1).count() == 5 and built == [1, 1, 2]
+    keep = tb.builds(spark, base).orderBy(F.desc("built_at")).first()["copy"]
+    assert tb.drop_stale(spark, base, keep) == 2
+    assert read(version=1).count() == 5 and built == [1, 1, 2, 1]  # a lost copy is built again
+
+
+def test_a_failed_build_leaves_no_pointer(spark, tmp_path):
+    source, base = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(2).write.parquet(source)
+    with pytest.raises(ZeroDivisionError):
+        tb.derived_table(spark, base, lambda: 1 / 0, [source])
+    assert tb.derived_table(spark, base, lambda: spark.read.parquet(source), [source]).count() == 2
