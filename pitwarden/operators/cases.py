@@ -115,6 +115,31 @@ def account_rollup(matched: DataFrame) -> DataFrame:
     )
 
 
+def account_profiles(matched: DataFrame, flags: DataFrame, status: str | None = None, k: int = 3, top: str = "top_shap_features") -> DataFrame:
+    """The roll-up with what drove each account's alerts and which other persona its episodes had.
+
+    ``other_truth`` is the persona of its latest case on an episode of another persona, else missing. ``top_features`` maps
+    the ``k`` features of largest summed absolute attribution to their mean over the account's alerted windows; windows
+    without an attribution of a feature do not count for it. ``status`` keeps accounts with at least one such case;
+    ``only_status`` says whether all their cases have it (missing without a filter).
+    """
+    keys = list(CASE_KEYS)
+    other = F.when(F.col("gt_event").isNotNull() & (F.col("gt_persona") != F.col("persona")), F.col("gt_persona"))
+    truth = matched.groupBy(*keys).agg(F.max_by(other, F.when(other.isNotNull(), F.col("start_tick"))).alias("other_truth"))
+    rows = account_rollup(matched).join(truth, keys)
+    if status:
+        rows = rows.filter(F.col(status) > 0).withColumn("only_status", F.col(status) == F.col("cases"))
+    else:
+        rows = rows.withColumn("only_status", F.lit(None).cast("boolean"))
+    alerted = flags.filter("final_flag AND predicted_persona IS NOT NULL").withColumnRenamed("predicted_persona", "persona")
+    per = alerted.select(*keys, F.explode(top).alias("feature", "value")).filter("value IS NOT NULL").groupBy(*keys, "feature").agg(
+        rnd(F.sum(F.abs("value")), 6).alias("weight"), F.avg("value").alias("mean"))
+    # One entry per feature column, so the list is as short as the list of columns.
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "feature", "mean"))), 1, k)
+    best = per.groupBy(*keys).agg(F.map_from_entries(F.transform(ranked, lambda x: F.struct(x["feature"], x["mean"]))).alias("top_features"))
+    return rows.join(best, keys, "left")
+
+
 def account_status_counts(rollup: DataFrame) -> DataFrame:
     """Confirmed, other-persona-only and false-alarm-only accounts, and those with any false alarm."""
     conf, other = F.col("confirmed") > 0, F.col("other_persona") > 0
@@ -186,6 +211,21 @@ def caught_by(flags: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def caught_features(flags: DataFrame, events: DataFrame, k: int = 5, top: str = "top_shap_features") -> DataFrame:
+    """(persona, feature, share): the ``k`` largest shares of absolute attribution over the caught windows of its episodes' accounts."""
+    keys = ("commodity", "window_start", "trader_id")
+    caught = flags.filter("final_flag").select(*keys, "window_end", top)
+    touch = overlap_join(caught, episode_accounts(events), ["commodity", "trader_id"], ("window_start", "window_end"), ("start_tick", "end_tick"))
+    rows = touch.groupBy(*keys, "persona").agg(F.first(top).alias("top"))
+    weights = rows.select("persona", F.explode("top").alias("feature", "value")).filter("value IS NOT NULL")
+    weights = weights.groupBy("persona", "feature").agg(F.sum(F.abs("value")).alias("weight"))
+    # From here on one row per persona and feature column.
+    share = F.col("weight") / F.sum("weight").over(Window.partitionBy("persona"))
+    place = F.row_number().over(Window.partitionBy("persona").orderBy(F.desc("rounded"), "feature"))
+    shares = weights.withColumn("share", share).withColumn("rounded", rnd("share", 6))
+    return shares.withColumn("place", place).filter(F.col("place") <= k).select("persona", "feature", rnd("share", 3).alias("share"))
+
+
 def attribution_mix(flags: DataFrame, top: str = "top_shap_features") -> DataFrame:
     """Share of the summed absolute attribution per feature over alerted windows."""
     weights = flags.filter("final_flag").select(F.explode(top).alias("feature", "value")).groupBy("feature").agg(

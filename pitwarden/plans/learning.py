@@ -10,10 +10,10 @@ from pitwarden.operators.lineage import cut
 from pitwarden.plans.labelling import LABEL_CTES, episodes, scored, span_labels
 from pitwarden.plans.mechanism import SCORES, minute_scores
 from pitwarden.plans import bar_sql as bs
-from pitwarden.plans.alerts import RESULT_CTES, results
+from pitwarden.plans.alerts import MATCH_CTES, RESULT_CTES, ROLLUP, matched, results
 from pitwarden.plans.registry import query
 from pitwarden.plans.shaping import r, rounded
-from pitwarden.plans.sql import SCORED, TRADES, with_ctes
+from pitwarden.plans.sql import EPISODES, SCORED, TRADES, with_ctes
 from pitwarden.sources import derived
 
 COLS = ["iso_score", *[f"prob_{p}" for p in PERSONAS]]
@@ -59,6 +59,35 @@ def attribution_share(spark, sf_dir):
     return rounded(cs.attribution_mix(flags, "top_features"))
 
 
+TOP = "topf AS (SELECT t.*, r.predicted_persona AS persona, final_flag, window_end FROM topk t JOIN results r USING (commodity, window_start, trader_id) WHERE final_flag)"
+
+
+def explained_flags(spark, sf_dir):
+    return cut(results(spark, sf_dir).join(attributions(spark, sf_dir).select(*KEYS, "top_features"), KEYS))
+
+
+@query("account_profiles", with_ctes(*MATCH_CTES, ROLLUP, RANGES, ATTR, TOP) + """, pf AS (SELECT commodity, trader_id, persona, feature, round(sum(abs(value)), 6) AS w, avg(value) AS m FROM topf WHERE persona IS NOT NULL GROUP BY 1, 2, 3, 4),
+pk AS (SELECT commodity, trader_id, persona, string_agg(feature, ',' ORDER BY i) AS features, floor(max(m) FILTER (WHERE i = 1) * 1e3 + 0.500001::DOUBLE) / 1e3 AS first_mean
+  FROM (SELECT *, row_number() OVER (PARTITION BY commodity, trader_id, persona ORDER BY w DESC, feature) AS i FROM pf) WHERE i <= 3 GROUP BY 1, 2, 3),
+tr AS (SELECT commodity, trader_id, persona, arg_max(gt_persona, start_tick) AS other_truth FROM matched WHERE gt_event IS NOT NULL AND gt_persona <> persona GROUP BY 1, 2, 3)
+SELECT commodity, trader_id, persona, cases, windows, other_truth, no_episode = cases AS only_status, features, first_mean
+FROM rollup LEFT JOIN tr USING (commodity, trader_id, persona) LEFT JOIN pk USING (commodity, trader_id, persona) WHERE no_episode > 0""", "M12 F3")
+def account_profiles(spark, sf_dir):
+    p = cs.account_profiles(matched(spark, sf_dir), explained_flags(spark, sf_dir), "no_episode", top="top_features")
+    # Means of four-decimal values often lie half way between thousandths: those go up on both sides.
+    names, first = F.map_keys("top_features"), F.get(F.map_values("top_features"), F.lit(0))
+    return p.select("commodity", "trader_id", "persona", "cases", "windows", "other_truth", "only_status", F.array_join(names, ",").alias("features"),
+                    (F.floor(first * 1e3 + 0.500001) / 1e3).alias("first_mean"))
+
+
+@query("caught_features", with_ctes(*RESULT_CTES, EPISODES, RANGES, ATTR, TOP) + """, ct AS (SELECT DISTINCT t.*, e.persona AS episode FROM topf t JOIN episode_accounts e
+  ON e.commodity = t.commodity AND e.trader_id = t.trader_id AND t.window_end >= e.start_tick AND t.window_start <= e.end_tick),
+cw AS (SELECT episode AS persona, feature, sum(abs(value)) / sum(sum(abs(value))) OVER (PARTITION BY episode) AS s FROM ct GROUP BY 1, 2)
+SELECT persona, feature, round(s, 3) AS share FROM cw QUALIFY row_number() OVER (PARTITION BY persona ORDER BY round(s, 6) DESC, feature) <= 5""", "M16")
+def caught_features(spark, sf_dir):
+    return cs.caught_features(explained_flags(spark, sf_dir), episodes(spark, sf_dir), top="top_features")
+
+
 def labelled(spark, sf_dir):
     return scored(spark, sf_dir).join(span_labels(spark, sf_dir).drop("window_end"), KEYS)
 

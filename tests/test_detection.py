@@ -94,3 +94,27 @@ def test_detector_query_trains_the_default_configuration_on_account_features(spa
     for query in (learning.detector_alerts, learning.forest_scores):
         with pytest.raises(Seen):
             query(spark, "/root/testdata/sf0.001")
+
+
+def test_account_profiles_and_caught_features(spark, make):
+    schema = "commodity string, trader_id string, window_start long, window_end long, final_flag boolean, predicted_persona string, final_score double, triggered_by array<string>, iso_score double, top_shap_features map<string,double>"
+    rows = [
+        ("gold", "a", 0, 10, True, "spoofing", 0.9, ["x"], 0.1, {"wash": -0.4, "cancel": 0.1}),
+        ("gold", "a", 5, 15, True, "spoofing", 0.8, ["x"], 0.1, {"wash": 0.2, "depth": 0.3}),
+        ("gold", "a", 5000, 5010, True, "spoofing", 0.7, ["x"], 0.1, {"cancel": 0.2, "late": None}),
+        ("gold", "a", 9000, 9010, True, "spoofing", 0.7, ["x"], 0.1, {}),
+        ("gold", "b", 9000, 9010, True, "anomaly", 0.6, ["x"], 0.1, None),
+        ("gold", "a", 9000, 9100, False, "spoofing", 0.1, ["x"], 0.1, {"unseen": 9.0}),
+    ]
+    flags = spark.createDataFrame(rows, schema)
+    events = make.events([("e1", "spoofing", 0, 20, ["a"]), ("e2", "layering", 5000, 5005, ["a"])])
+    m = cs.match_cases(cs.build_cases(flags), events)
+    got = {r["trader_id"]: r for r in cs.account_profiles(m, flags).collect()}
+    assert list(got["a"]["top_features"]) == ["wash", "cancel", "depth"]
+    assert got["a"]["top_features"] == pytest.approx({"wash": -0.1, "cancel": 0.15, "depth": 0.3})
+    assert got["a"]["other_truth"] == "layering" and got["a"]["cases"] == 3 and got["b"]["top_features"] is None
+    lone = {r["trader_id"]: r["only_status"] for r in cs.account_profiles(m, flags, status="no_episode").collect()}
+    assert lone == {"a": False, "b": True}
+    assert cs.account_profiles(m, flags, status="near_episode").count() == 0
+    shares = {(r["persona"], r["feature"]): r["share"] for r in cs.caught_features(flags, events).collect()}
+    assert shares == {("spoofing", "wash"): 0.6, ("spoofing", "depth"): 0.3, ("spoofing", "cancel"): 0.1, ("layering", "cancel"): 1.0}
