@@ -13,6 +13,7 @@ from pitwarden.llm.common import documents, shared_path, width
 from pitwarden.plans.registry import Query
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+OP6_CACHE = 700_000  # some 315 MB a worker; the pipeline, whose workers hold more, keeps the smaller default
 URL_RULES = (
     url_filter.UrlRule("allow", "org", "/"), url_filter.UrlRule("block", "example.org", "/es/"), url_filter.UrlRule("block", "example.org", "/en/1"),
     url_filter.UrlRule("allow", "com", "/fr/"), url_filter.UrlRule("block", "com", "/de/"),
@@ -51,7 +52,7 @@ def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = rank_queue_bpe.read_ranks(spark, public_tokenizers.path(RANKS))
-    return rank_queue_bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
+    return rank_queue_bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), ranks, public_tokenizers.PATTERN, cache=OP6_CACHE).drop("text")
 
 
 def op7_factor_machine(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pitwarden.llm.common import add_columns
 
 LOW = 63
-CACHE_ENTRIES = 200_000  # in each of two generations; under 100 MB in a worker
+CACHE_ENTRIES = 200_000  # in each of two generations, at some 225 bytes: under 100 MB in a worker
 CACHED_CHARS = 32  # longer pre-tokens are not kept
 
 
@@ -135,7 +135,10 @@ class Vocabulary:
 
 
 class Encoder:
-    def __init__(self, lines: bytes, pattern: str) -> None:
+    """Encodes pre-token by pre-token and keeps up to ``cache`` results in each of two generations; results do not depend on it."""
+
+    def __init__(self, lines: bytes, pattern: str, cache: int = CACHE_ENTRIES) -> None:
+        self.cache = cache
         self.vocabulary = Vocabulary(lines)
         self.pieces = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
@@ -151,7 +154,7 @@ class Encoder:
                 if ids is None:
                     ids = tuple(merge(piece.encode()))
                 if len(piece) <= CACHED_CHARS:
-                    if len(known) >= CACHE_ENTRIES:
+                    if len(known) >= self.cache:
                         self.older, self.known = known, {}
                         known = self.known
                     known[piece] = ids
@@ -163,8 +166,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(lines: bytes, pattern: str) -> Encoder:
-    return Encoder(lines, pattern)
+def encoder(lines: bytes, pattern: str, cache: int = CACHE_ENTRIES) -> Encoder:
+    return Encoder(lines, pattern, cache)
 
 
 def read_ranks(spark: SparkSession, path: str) -> bytes:
@@ -200,12 +203,15 @@ def decode_column(encoded: DataFrame, ranks: bytes, pattern: str, ids: str = "id
     return add_columns(encoded, (ids,), "decoded binary", run)
 
 
-def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with digests of their ids and of the bytes decoded from them."""
+def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", cache: int = CACHE_ENTRIES) -> DataFrame:
+    """All rows and columns of ``docs`` with digests of their ids and of the bytes decoded from them.
+
+    ``cache``: kept pre-tokens in each of two generations of a worker, memory (225 bytes an entry) against time.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(texts):
-        coder = encoder(shared.value, pattern)
+        coder = encoder(shared.value, pattern, cache)
         got: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
         for t in texts:
             ids = coder.encode(t or "")
