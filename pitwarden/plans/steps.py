@@ -93,7 +93,7 @@ def bait_and_legs(spark, sf_dir):
     trades, orders, bounds, path, base = base_tables(spark, sf_dir)
     placed = cut(st.enrich_placed(orders, path, base, CFG))
     bait = cut(st.bait_groups(st.enrich_cancels(orders, placed, CFG), CFG))
-    return bait, cut(st.leg_ticks(trades, path, CFG)), placed, bounds
+    return bait, st.leg_ticks(trades, path, CFG), placed, bounds
 
 
 @query("opposite_fills", with_ctes(*fs.LOGS, fs.BOUNDS, fs.PATH, fs.BASELINE, fs.PLACED, fs.LEGS, fs.BAIT)
