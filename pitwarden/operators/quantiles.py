@@ -49,7 +49,8 @@ def exact_percentiles(df: DataFrame, cols: list[str], probs: list[float], by: li
     placed = values.withColumn("upto", upto).join(ranks, [*by, "i", "j"]).withColumn("upto", F.col("below") + F.col("upto"))
     low, high = F.floor("at"), F.ceil("at")
     ends = placed.groupBy(*by, "column", "prob", "at").agg(F.min(F.when(F.col("upto") > low, F.col("v"))).alias("lo"), F.min(F.when(F.col("upto") > high, F.col("v"))).alias("hi"))
-    value = F.when(low == high, F.col("lo")).otherwise(F.col("lo") * (high - F.col("at")) + F.col("hi") * (F.col("at") - low))
+    # Between two equal values there is nothing to interpolate; the weighted sum would miss them by a rounding error.
+    value = F.when((low == high) | (F.col("lo") == F.col("hi")), F.col("lo")).otherwise(F.col("lo") * (high - F.col("at")) + F.col("hi") * (F.col("at") - low))
     return ends.select(*by, "column", "prob", value.alias("value"))
 
 
