@@ -230,12 +230,40 @@ def pump_facts(cases: DataFrame, trades: DataFrame) -> DataFrame:
     return facts
 
 
+def flagged_stretches(flags: DataFrame) -> DataFrame:
+    """(market, account, lo, hi): windows of an account that overlap made one, and ``before``, the end of the stretch before."""
+    w = Window.partitionBy(*ACCOUNT).orderBy("window_start", "window_end")
+    reach = F.max("window_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = flags.withColumn("_opens", F.when(F.col("window_start") <= reach, 0).otherwise(1))
+    runs = opens.withColumn("_run", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = runs.groupBy(*ACCOUNT, "_run").agg(F.min("window_start").alias("lo"), F.max("window_end").alias("hi")).drop("_run")
+    return merged.withColumn("before", F.lag("hi").over(Window.partitionBy(*ACCOUNT).orderBy("lo")))
+
+
 def pump_peers(cases: DataFrame, flags: DataFrame) -> DataFrame:
-    """Other accounts alerted for pump and dump in the case's market and span."""
-    spans = case_spans(cases, "pump_and_dump")
-    f = flags.filter("final_flag AND predicted_persona = 'pump_and_dump'").select("commodity", F.col("trader_id").alias("peer"), "window_start", "window_end")
-    hit = overlap_join(spans, f, ["commodity"], ("start", "end"), ("window_start", "window_end")).filter("peer <> trader_id")
-    return hit.groupBy("case_id").agg(F.count_distinct("peer").alias("peers"), F.min("peer").alias("first_peer"))
+    """Other accounts alerted for pump and dump in the case's market and span.
+
+    Cases never meet single accounts. An account with k stretches inside a span has k - 1 gaps inside it, so the accounts
+    of a span are its stretches less its gaps. Both are counted by their ticks first, and the two smallest names
+    of each kind of stretch are enough for the first peer, whoever owns the case.
+    """
+    spans = cut(case_spans(cases, "pump_and_dump"))
+    f = flags.filter("final_flag AND predicted_persona = 'pump_and_dump'").select(*ACCOUNT, "window_start", "window_end")
+    stretches = cut(flagged_stretches(f))
+    at = ["commodity", "lo", "hi"]
+    gaps = stretches.filter("before IS NOT NULL").select("commodity", F.col("before").alias("lo"), F.col("lo").alias("hi"))
+    counts = stretches.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).unionByName(gaps.groupBy(*at).agg((-F.count(F.lit(1))).alias("n")))
+    names = stretches.select(*at, "trader_id", F.row_number().over(Window.partitionBy(*at).orderBy("trader_id")).alias("_r")).filter("_r <= 2")
+    span = ["commodity", "start", "end"]
+    distinct = cut(spans.select(*span).distinct())
+    inside = (F.col("n") > 0) | ((F.col("lo") >= F.col("start")) & (F.col("hi") <= F.col("end")))
+    total = overlap_join(distinct, cut(counts), ["commodity"], ("start", "end"), ("lo", "hi")).filter(inside).groupBy(*span).agg(F.sum("n").alias("n"))
+    first = overlap_join(distinct, cut(names), ["commodity"], ("start", "end"), ("lo", "hi")).groupBy(*span).agg(F.slice(F.array_sort(F.collect_set("trader_id")), 1, 2).alias("two"))
+    own = overlap_join(spans, stretches.select(*ACCOUNT, "lo", "hi"), ACCOUNT, ("start", "end"), ("lo", "hi"), how="left_semi").select("case_id", F.lit(1).alias("own"))
+    peers = F.col("n") - F.coalesce("own", F.lit(0))
+    met = spans.join(total.join(first, span), span).join(own, "case_id", "left").filter(peers > 0)
+    name = F.when(F.get("two", F.lit(0)) == F.col("trader_id"), F.get("two", F.lit(1))).otherwise(F.get("two", F.lit(0)))
+    return met.select("case_id", peers.cast("long").alias("peers"), name.alias("first_peer"))
 
 
 def generic_facts(cases: DataFrame, trades: DataFrame, orders: DataFrame, personas: tuple[str, ...] = ("anomaly",)) -> DataFrame:
