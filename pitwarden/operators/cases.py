@@ -161,6 +161,17 @@ def case_prices(cases: DataFrame, tick_prices: DataFrame, pad: int = 120) -> Dat
     return overlap_join(spans, tick_prices, ["commodity"], ("start_tick", "end_tick"), ("tick", "tick"), slack=pad)
 
 
+def case_price_range(cases: DataFrame, tick_prices: DataFrame, pad: int = 120) -> DataFrame:
+    """(case_id, ticks, low, high): ticks that traded, lowest and highest last price of the market inside each padded case span.
+
+    All cases of a market with the same span see the same prices, so only distinct spans meet them.
+    """
+    span = ["commodity", "start_tick", "end_tick"]
+    hit = overlap_join(cases.select(*span).distinct(), tick_prices, ["commodity"], ("start_tick", "end_tick"), ("tick", "tick"), slack=pad)
+    seen = hit.groupBy(*span).agg(F.count(F.lit(1)).alias("ticks"), F.min("price").alias("low"), F.max("price").alias("high"))
+    return cases.select("case_id", *span).join(seen, span).drop(*span)
+
+
 def case_fills(cases: DataFrame, trades: DataFrame, pad: int = 120) -> DataFrame:
     """The account's own buys and sells inside each padded case span."""
     side = F.explode(F.array(

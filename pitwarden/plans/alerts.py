@@ -196,7 +196,7 @@ o AS (SELECT c.case_id, count(*) FILTER (WHERE buyer_trader_id = c.trader_id) AS
 SELECT * FROM p JOIN o USING (case_id)""", "M11 B3")
 def case_price_context(spark, sf_dir):
     c, t = cut(alert_cases(spark, sf_dir)), derived.staged(spark, sf_dir, "trade_log")
-    p = cs.case_prices(c, tick_prices(t)).groupBy("case_id").agg(F.count(F.lit(1)).alias("ticks"), F.min("price").alias("low"), F.max("price").alias("high"))
+    p = cs.case_price_range(c, tick_prices(t))
     o = cs.case_fills(c, t).groupBy("case_id").agg(F.count_if(F.col("side") == "buy").alias("own_buys"), F.count_if(F.col("side") == "sell").alias("own_sells"))
     return p.join(o, "case_id")
 
