@@ -190,34 +190,43 @@ def pump_facts(cases: DataFrame, trades: DataFrame) -> DataFrame:
     prices = cut(tick_prices(trades))
     mine = case_legs(spans, trades)
     signed = F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))
-    w = Window.partitionBy("case_id").orderBy("tick", "side", "seq", "price").rowsBetween(Window.unboundedPreceding, 0)
-    path = cut(mine.withColumns({"pos": F.sum(signed).over(w), "ord": F.row_number().over(w)}))
-    peak = path.groupBy("case_id").agg(
-        F.max_by("tick", F.struct("pos", -F.col("ord"))).alias("peak_tick"), F.max("pos").alias("peak_position"),
-        F.max_by("pos", "ord").alias("end_position"), F.count(F.lit(1)).alias("trades"),
-    )
-    j = path.join(peak.select("case_id", "peak_tick"), "case_id")
+    pushed = F.when((F.col("side") == "buy") & F.col("aggressive"), F.col("quantity"))
+    own = Window.partitionBy("case_id")
+    w = own.orderBy("tick", "side", "seq", "price").rowsBetween(Window.unboundedPreceding, 0)
+    path = mine.withColumns({
+        "pos": F.sum(signed).over(w), "ord": F.row_number().over(w),
+        "push": F.sum(pushed).over(own.orderBy("tick").rangeBetween(-(BURST_WINDOW - 1), 0)),
+    })
+    path = path.withColumn("peak_tick", F.max_by("tick", F.struct("pos", -F.col("ord"))).over(own))
     bought = (F.col("side") == "buy") & (F.col("tick") <= F.col("peak_tick"))
     sold = (F.col("side") == "sell") & (F.col("tick") > F.col("peak_tick"))
 
     def total(cond):
         return F.sum(F.when(cond, F.col("quantity")).otherwise(0))
 
-    phases = j.groupBy("case_id").agg(
+    def burst(volume: Column, tick: Column) -> Column:
+        return F.struct(volume.alias("p"), (-tick).alias("t"))
+
+    # A burst window is whole from ``full`` on. Its volume rises only with a print of the account, so the earliest tick of the
+    # largest is ``full`` or the tick of a print: the ticks between need no rows.
+    full = F.col("start") + BURST_WINDOW - 1
+    q = path.groupBy("case_id", "commodity", "start", "end").agg(
+        F.first("peak_tick").alias("peak_tick"), F.max("pos").alias("peak_position"),
+        F.max_by("pos", "ord").alias("end_position"), F.count(F.lit(1)).alias("trades"),
         total(bought).alias("bought_until_peak_position"), total(bought & F.col("aggressive")).alias("of_which_aggressive_buys"),
         total(sold).alias("sold_after_peak"), total(sold & F.col("aggressive")).alias("of_which_aggressive_sells"),
+        F.sum(F.when(F.col("tick") <= full, pushed)).alias("_early"),
+        F.max(F.when((F.col("tick") >= full) & (F.col("push") > 0), burst(F.col("push"), F.col("tick")))).alias("_late"),
     )
-    dense = spans.select("case_id", "commodity", "start", F.explode(F.sequence("start", "end")).alias("tick"))
-    push = path.filter("side = 'buy' AND aggressive").groupBy("case_id", "tick").agg(F.sum("quantity").alias("push"))
-    wt = Window.partitionBy("case_id").orderBy("tick").rowsBetween(-(BURST_WINDOW - 1), 0)
-    rolled = dense.join(push, ["case_id", "tick"], "left").join(prices.select("commodity", "tick", "volume"), ["commodity", "tick"], "left").select(
-        "case_id", "tick", "start", F.sum(F.coalesce("push", F.lit(0))).over(wt).alias("p"), F.sum(F.coalesce("volume", F.lit(0))).over(wt).alias("m")
-    ).filter(F.col("tick") >= F.col("start") + BURST_WINDOW - 1)
-    burst = rolled.filter("p > 0").groupBy("case_id").agg(F.max_by(F.struct("tick", "p", "m"), F.struct("p", -F.col("tick"))).alias("x")).select(
-        "case_id", F.col("x.tick").alias("burst_end_tick"), F.col("x.p").alias("burst_aggressive_buy_volume"),
-        F.when(F.col("x.m") > 0, rnd(100 * F.col("x.p") / F.col("x.m"), 1)).otherwise(0.0).alias("burst_share_of_market_volume_pct"),
-    )
-    q = spans.join(peak, "case_id").join(phases, "case_id").join(burst, "case_id", "left").withColumn("burst_before", F.col("burst_end_tick") - BURST_WINDOW)
+    early = F.when((F.col("_early") > 0) & (full <= F.col("end")), burst(F.col("_early"), full))
+    q = q.withColumn("_top", F.greatest(early, F.col("_late"))).withColumns({
+        "burst_end_tick": -F.col("_top.t"), "burst_aggressive_buy_volume": F.col("_top.p"),
+    }).drop("_early", "_late", "_top").withColumns({
+        "burst_first": F.col("burst_end_tick") - BURST_WINDOW + 1, "burst_before": F.col("burst_end_tick") - BURST_WINDOW,
+    })
+    q = range_sums(cut(q), prices.select("commodity", "tick", F.col("volume").alias("m")), ["commodity"], "burst_first", "burst_end_tick", ["m"])
+    share = F.when(F.col("m") > 0, rnd(100 * F.col("burst_aggressive_buy_volume") / F.col("m"), 1)).otherwise(0.0)
+    q = q.withColumn("burst_share_of_market_volume_pct", F.when(F.col("burst_end_tick").isNotNull(), share))
     for tick, out in (("start", "p_start"), ("peak_tick", "p_peak"), ("end", "p_end"), ("burst_before", "b0"), ("burst_end_tick", "b1")):
         q = price_at(cut(q), prices, tick, out)
     facts = q.select(
