@@ -161,19 +161,26 @@ def case_legs(spans: DataFrame, trades: DataFrame) -> DataFrame:
 
 def wash_facts(cases: DataFrame, trades: DataFrame) -> DataFrame:
     """Net against gross volume, the top counterparty and distance from the span's VWAP."""
-    spans = case_spans(cases, "wash_trading")
+    spans = cut(case_spans(cases, "wash_trading"))
+    span = ["commodity", "start", "end"]
     per_tick = trades.groupBy("commodity", "tick").agg(F.sum("quantity").alias("mkt_vol"), F.sum(F.col("price") * F.col("quantity")).alias("mkt_notional"))
-    market = range_sums(cut(spans), per_tick, ["commodity"], "start", "end", ["mkt_vol", "mkt_notional"])
-    mine = cut(case_legs(cut(market.withColumn("vwap", F.col("mkt_notional") / F.nullif(F.col("mkt_vol"), F.lit(0)))), trades))
-    side = {s: F.sum(F.when(F.col("side") == s, F.col("quantity")).otherwise(0)) for s in ("buy", "sell")}
-    cp = mine.groupBy("case_id", "cpty").agg(F.sum("quantity").alias("v"), F.count(F.lit(1)).alias("n"), side["buy"].alias("b"), side["sell"].alias("s"))
-    top = cp.groupBy("case_id").agg(F.min(F.struct(-F.col("v"), "cpty", "n", "b", "s", "v")).alias("t"))
+    # Cases of one span share its market totals.
+    market = range_sums(cut(spans.select(*span).distinct()), per_tick, ["commodity"], "start", "end", ["mkt_vol", "mkt_notional"])
+    vwap = F.col("mkt_notional") / F.nullif(F.col("mkt_vol"), F.lit(0))
+    known = cut(spans.join(cut(market.select(*span, "mkt_vol", vwap.alias("vwap"))), span))
+    # One shuffle by case: the sums per counterparty are frames inside it.
+    mine = case_legs(known, trades).select("case_id", "cpty", "side", "price", "quantity", "aggressive", "mkt_vol", "vwap").repartition("case_id")
+    pair = Window.partitionBy("case_id", "cpty")
+    on = {s: F.when(F.col("side") == s, F.col("quantity")).otherwise(0) for s in ("buy", "sell")}
+    both = mine.withColumns({
+        "v": F.sum("quantity").over(pair), "n": F.count(F.lit(1)).over(pair), "b": F.sum(on["buy"]).over(pair), "s": F.sum(on["sell"]).over(pair),
+    })
     dev = F.abs(F.col("price") - F.col("vwap")) / F.col("vwap") * 1e4
-    a = mine.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("trades"), F.sum("quantity").alias("gross"), (side["buy"] - side["sell"]).alias("net"), F.median("quantity").alias("med"),
+    j = both.groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("trades"), F.sum("quantity").alias("gross"), (F.sum(on["buy"]) - F.sum(on["sell"])).alias("net"), F.median("quantity").alias("med"),
         F.median(dev).alias("dev"), F.sum(F.when(F.col("aggressive"), F.col("quantity")).otherwise(0)).alias("aggr"), F.first("mkt_vol").alias("mkt_vol"),
+        F.min(F.struct(-F.col("v"), "cpty", "n", "b", "s", "v")).alias("t"),
     )
-    j = a.join(top, "case_id")
     return spans.select("case_id").join(j, "case_id", "left").select(
         "case_id", F.coalesce("trades", F.lit(0)).alias("trades"), F.col("gross").alias("gross_volume"), F.col("net").alias("net_position_change"),
         rnd(100 * F.abs("net") / F.col("gross"), 1).alias("net_position_vs_gross_pct"), F.col("t.cpty").alias("top_counterparty"),

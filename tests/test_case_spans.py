@@ -75,3 +75,12 @@ def test_span_length_adds_no_rows_to_pump_facts(spark, make, monkeypatch):
     kinds = [(kind, p) for kind, p in nodes(out._jdf.queryExecution().executedPlan())]
     assert max(made) <= 4 and not any("Generate" in kind for kind, _ in kinds)
     assert max(p.metrics().apply("numOutputRows").value() for kind, p in kinds if "Join" in kind) <= 4
+
+
+def test_top_counterparty_of_wash_cases(spark, make):
+    rows = [(1, 100, 5, "me", "x", "buy"), (2, 101, 5, "x", "me", "sell"), (2, 99, 7, "me", "y", "buy"), (3, 99, 3, "z", "y", "buy"), (60, 99, 90, "me", "y", "buy")]
+    cases = [(f"c{i}", "gold", who, "wash_trading", 0, 9) for i, who in enumerate(("me", "x", "nobody"))]
+    got = {r["case_id"]: r for r in ev.wash_facts(spark.createDataFrame(cases, CASE), make.trades(rows)).collect()}
+    assert [got["c0"][c] for c in ("trades", "gross_volume", "net_position_change", "top_counterparty", "trades_with_top_counterparty", "bought_from_top_counterparty", "sold_to_top_counterparty")] == [3, 17, 7, "x", 2, 5, 5]
+    assert got["c0"]["pair_share_of_market_volume_pct"] == 50.0 and got["c1"]["top_counterparty"] == "me"
+    assert got["c2"]["trades"] == 0 and got["c2"]["top_counterparty"] is None
