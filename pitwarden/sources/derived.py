@@ -186,6 +186,8 @@ def minute_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("event_type").alias("commodity"), minute.alias("minute"), F.col("value").alias("price"), "event_id")
 
 
+TASK_LEGS = 500_000  # legs of trades that one task groups
+
 THRESHOLDS = {"spoofing": 0.9, "wash_trading": 0.92, "pump_and_dump": 0.94, "layering": 0.9, "fake_depth": 0.95}
 SCORE_MIX = {
     "prob_spoofing": (7, 0), "prob_wash_trading": (13, 250), "prob_pump_and_dump": (29, 500), "prob_layering": (43, 750),
@@ -196,12 +198,15 @@ SCORE_MIX = {
 def scored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Account windows with stand-in scores: plain arithmetic on what the account traded.
 
-    One row per account and 30-tick step with a trade; the window reaches 180 ticks ahead.
+    One row per account and 30-tick step with a trade; the window reaches 180 ticks ahead. Almost every leg is a group of its
+    own, so they are dealt to as many tasks as their number asks for before any grouping: left to the tasks of the join,
+    the groups held by one of them would grow with the tables.
     """
+    tasks = max(1, -(-2 * table(spark, sf_dir, "lineitem").count() // TASK_LEGS))
     legs = trade_log(spark, sf_dir).select(
         "commodity", F.expr("tick div 30").alias("step"), "quantity",
         F.explode(F.array("buyer_trader_id", "seller_trader_id")).alias("trader_id"),
-    )
+    ).repartition(tasks, "commodity", "step", "trader_id")
     g = legs.groupBy("commodity", "step", "trader_id").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("v"))
     number = F.substring("trader_id", 6, 9).cast("long")
     g = g.withColumn("h", (number * 131 + F.col("step") * 37 + F.col("n") * 11 + F.col("v")) % 1000)
