@@ -49,3 +49,28 @@ def test_position_history_shuffles_no_counterparties(spark):
     plan = position_history(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "cpty" not in plan and "price" not in plan
     assert plan.count("Exchange hashpartitioning") == 2, plan
+
+
+def test_own_behaviour_equals_the_behaviour_rows(make):
+    trades, orders = busy_log(make)
+    t = ft.build_steps(trades, orders, CFG)
+    whole, _, _ = ft.behaviour(t, CFG)
+    own = ft.own_behaviour(t, CFG)
+    columns = [c for c in whole.columns if c in own.columns and c not in WHO]
+    assert set(whole.columns) - set(own.columns) == {"n_large_cancels", "spoof_signature", "top_cpty_share", "reciprocal_ratio", "n_counterparties"}
+    assert rows(own, columns) == rows(whole, columns)
+
+
+def test_order_steps_shuffle_their_events_once(make):
+    """Narrow events in one shuffle; a side that is missing is neither bought nor a replacement."""
+    placed = make.orders([]).sparkSession.createDataFrame(
+        [("gold", "A", 0, 3, "buy", 10.0, False, p, 1.0) for p in (99.0, 98.0, 97.0)],
+        "commodity string, trader_id string, step long, tick long, side string, quantity double, is_large boolean, price double, dist_bp double")
+    cancels = placed.sparkSession.createDataFrame(
+        [("gold", "A", 0, 3, "buy", 10.0, False, 4.0), ("gold", "A", 0, 3, None, 5.0, False, 180.0)],
+        "commodity string, trader_id string, step long, tick long, side string, quantity double, is_large boolean, lifetime double")
+    out = steps.order_steps(placed, cancels, CFG)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    r = out.collect()[0]
+    assert (r["n_placed"], r["placed_vol"], r["layer_vol"], r["n_cancel"], r["cancel_vol"], r["cancel_buy"]) == (3.0, 30.0, 30.0, 2.0, 15.0, 10.0)
+    assert (r["n_replaced"], r["fast_cancel"], r["lifetime_sum"], r["placed_max"], r["dist_q"]) == (1.0, 10.0, 184.0, 10.0, 30.0)
