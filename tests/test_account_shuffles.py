@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from pitwarden.config import FeatureConfig
-from pitwarden.operators import features as ft, steps, windows
+from pitwarden.operators import features as ft, history, steps, windows
 
 CFG = FeatureConfig()
 WHO = ["commodity", "win", "trader_id"]
@@ -74,3 +74,17 @@ def test_order_steps_shuffle_their_events_once(make):
     r = out.collect()[0]
     assert (r["n_placed"], r["placed_vol"], r["layer_vol"], r["n_cancel"], r["cancel_vol"], r["cancel_buy"]) == (3.0, 30.0, 30.0, 2.0, 15.0, 10.0)
     assert (r["n_replaced"], r["fast_cancel"], r["lifetime_sum"], r["placed_max"], r["dist_q"]) == (1.0, 10.0, 184.0, 10.0, 30.0)
+
+
+def test_reciprocal_volume_equals_that_of_directed_pairs(make):
+    """An account that trades with itself counts once, as in the directed pairs."""
+    trades, orders = busy_log(make)
+    trades = trades.union(make.trades([(410, 100, 4, "A", "A", "buy"), (420, 100, 6, "A", "A", "sell")]))
+    t = ft.build_steps(trades, orders, CFG)
+    pairs, _ = ft.pairs_and_baseline(t, CFG)
+    want = rows(windows.counterparty_summary(pairs, CFG).filter("recip <> 0"), ["recip"])
+    recip = windows.reciprocal_windows(trades, t.bounds, CFG)
+    assert rows(recip, ["recip"]) == want and len(want) > 20
+    whole, _, _ = ft.behaviour(t, CFG)
+    columns = ["reciprocal_ratio", "aggressor_ratio", "exec_vol"]
+    assert rows(ft.own_behaviour(t, CFG, recip), columns) == rows(whole, columns)
