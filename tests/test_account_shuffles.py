@@ -88,3 +88,16 @@ def test_reciprocal_volume_equals_that_of_directed_pairs(make):
     whole, _, _ = ft.behaviour(t, CFG)
     columns = ["reciprocal_ratio", "aggressor_ratio", "exec_vol"]
     assert rows(ft.own_behaviour(t, CFG, recip), columns) == rows(whole, columns)
+
+
+def test_own_history_shuffles_once_and_equals_its_parts(make):
+    trades, orders = busy_log(make)
+    f, _, _ = ft.behaviour(ft.build_steps(trades, orders, CFG), CFG)
+    f = history.cut(f.withColumn("gross_volume_share", F.lit(0.1)))
+    own = history.own_history(f, CFG)
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(commodity#") - plan.count("Exchange hashpartitioning(commodity#", plan.index("HashAggregate")) == 1, plan
+    scores = history.history_scores(f, CFG)
+    position = history.position_history(f, CFG)
+    columns = [c for c in own.columns if c not in (*WHO, "exec_side_imbalance")]
+    assert rows(own, columns) == rows(scores.join(position.select(*WHO, "prev_net_ratio", "long_net_ratio"), WHO), columns)
