@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pitwarden.config import LARGE_ORDER_MULTIPLE
 from pitwarden.functions.exprs import bp, rnd
-from pitwarden.operators.asof import range_sums
+from pitwarden.operators.asof import near_points, range_sums
 from pitwarden.operators.effect import price_at, tick_prices
 from pitwarden.operators.lineage import cut
 from pitwarden.operators.overview import legs
@@ -24,9 +24,9 @@ def case_spans(cases: DataFrame, *personas: str) -> DataFrame:
     return cases.filter(F.col("persona").isin(*personas)).select("case_id", *ACCOUNT, F.col("start_tick").alias("start"), F.col("end_tick").alias("end"))
 
 
-def account_legs(trades: DataFrame) -> DataFrame:
-    """Per (market, account, side, tick): filled and aggressively filled quantity."""
-    both = legs(trades, "commodity", "tick", "quantity", "aggressor_side")
+def account_legs(trades: DataFrame, spans: DataFrame, lo: str, hi: str) -> DataFrame:
+    """Per (market, account, side, tick) near a span (market, account, side, lo, hi): filled and aggressively filled quantity."""
+    both = near_points(legs(trades, "commodity", "tick", "quantity", "aggressor_side"), spans, [*ACCOUNT, "side"], lo, hi)
     return both.groupBy(*ACCOUNT, "side", "tick").agg(
         F.sum("quantity").alias("qty"), F.sum(F.when(F.col("side") == F.col("aggressor_side"), F.col("quantity")).otherwise(0)).alias("aggr_qty")
     )
@@ -70,8 +70,9 @@ def spoofing_facts(cases: DataFrame, trades: DataFrame, orders: DataFrame, perso
         "own_side": F.col("side"), "side": F.when(F.col("side") == "buy", "sell").otherwise("buy"),
         "until": F.least(F.col("cancel_tick") + 2, F.col("end") + 2), "t_before": F.col("tick") - 1,
     })
-    fills = cut(account_legs(trades))
-    gone = range_sums(cut(gone), fills.select(*ACCOUNT, "side", "tick", F.col("qty").alias("opp_qty")), [*ACCOUNT, "side"], "tick", "until", ["opp_qty"])
+    gone = cut(gone)
+    fills = cut(account_legs(trades, gone.withColumn("from", F.least("tick", "cancel_tick")), "from", "until"))
+    gone = range_sums(gone, fills.select(*ACCOUNT, "side", "tick", F.col("qty").alias("opp_qty")), [*ACCOUNT, "side"], "tick", "until", ["opp_qty"])
     gone = range_sums(cut(gone), fills.select(*ACCOUNT, "side", "tick", F.col("aggr_qty").alias("flip_qty")), [*ACCOUNT, "side"], "cancel_tick", "until", ["flip_qty"])
     gone = price_at(price_at(cut(gone), prices, "t_before", "p0"), prices, "cancel_tick", "p1")
     beside = placed.select("case_id", F.col("tick").alias("cancel_tick"), F.col("side").alias("own_side")).distinct().withColumn("beside", F.lit(True))
@@ -125,8 +126,9 @@ def layering_facts(cases: DataFrame, trades: DataFrame, orders: DataFrame, min_l
         "t1": F.coalesce("t1", F.col("tick") + 5), "t_before": F.col("tick") - 1, "own_side": F.col("side"),
         "side": F.when(F.col("side") == "buy", "sell").otherwise("buy"),
     }).withColumn("until", F.least(F.col("t1") + 2, F.col("end") + 2))
-    fills = account_legs(trades).select(*ACCOUNT, "side", "tick", F.col("qty").alias("opp_qty"))
-    batch = range_sums(cut(batch), fills, [*ACCOUNT, "side"], "tick", "until", ["opp_qty"])
+    batch = cut(batch)
+    fills = account_legs(trades, batch, "tick", "until").select(*ACCOUNT, "side", "tick", F.col("qty").alias("opp_qty"))
+    batch = range_sums(batch, fills, [*ACCOUNT, "side"], "tick", "until", ["opp_qty"])
     batch = price_at(price_at(cut(batch), prices, "t_before", "p0"), prices, "t1", "p1")
     sign = F.when(F.col("own_side") == "buy", 1.0).otherwise(-1.0)
     g = batch.groupBy("case_id").agg(
